@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, packing, warc
+from tidemill.llm import decontaminate, html_text, licenses, neardup, packing, warc
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
         "op7_warc": warc.op7_warc,
+        "op8_license_scan": licenses.op8_license_scan,
+        "op10_html_text": html_text.op10_html_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.ORACLE_OP3,
+        "op5_minhash_near_dedup": neardup.ORACLE_OP5,
         "op7_warc": warc.ORACLE_OP7,
     }
