@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, html_text, licenses, neardup, packing, warc
+from tidemill.llm import decontaminate, html_text, language, licenses, neardup, packing, quality, warc
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_language": language.op2_language,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_quality": quality.op4_quality,
         "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
         "op7_warc": warc.op7_warc,
         "op8_license_scan": licenses.op8_license_scan,
