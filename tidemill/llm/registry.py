@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import decontaminate, html_text, language, licenses, neardup, packing, quality, warc
+from tidemill.llm import decontaminate, html_text, language, licenses, neardup, packing, quality, repeats, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_quality": quality.op4_quality,
         "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
+        "op6_suffix_dedup": repeats.op6_suffix_dedup,
         "op7_warc": warc.op7_warc,
         "op8_license_scan": licenses.op8_license_scan,
         "op10_html_text": html_text.op10_html_text,
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.ORACLE_OP3,
         "op5_minhash_near_dedup": neardup.ORACLE_OP5,
+        "op6_suffix_dedup": repeats.ORACLE_OP6,
         "op7_warc": warc.ORACLE_OP7,
     }
