@@ -1,0 +1,66 @@
+"""The training-text pipeline: five stages over ``documents``, each a corpus operator.
+
+Each stage takes (spark, docs, sf_dir) and returns the next one's documents; ``run`` writes what a
+stage returns to the shared folder and reads it back, so a lost executor never costs a stage that
+has ended.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm import decontaminate, neardup, packing, quality, repeats
+from tidemill.llm.common import table, written
+
+#: Words and similarity of a near duplicate; bytes of a repeated passage; words of a benchmark window.
+SHINGLE, PERCENT, PASSAGE, WINDOW = 5, 80, 400, 10
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    Rows that repeat that id and text are copies too: one stays.
+    """
+    kept = neardup.near_duplicates(docs, SHINGLE, PERCENT).where("kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of 400-byte passages cut out; a document of which nothing is left goes."""
+    return repeats.cut_later_copies(docs, PASSAGE)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"), WINDOW)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and offset."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("minhash near-dedup", near_dedup_stage),
+    ("suffix-array dedup", suffix_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: The first stage's network has no SQL; the tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ direct comparison confirms each occurrence.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -84,6 +85,10 @@ class Windows:
                 self.items_of[k].add(item)
         self.searchers = [(WuManber([patterns[k] for k in ks]), ks) for ks in by_class.values()]
 
+    def found(self, words: list[bytes]) -> bool:
+        text = b" " + b" ".join(words) + b" "
+        return any(True for searcher, _ in self.searchers for _ in searcher.find(text))
+
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Word intervals [start, end) covered by occurrences, and the items found."""
         text = b" " + b" ".join(words) + b" "
@@ -109,8 +114,8 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
-    """The benchmark a bounded block at a time; the driver never holds more than one."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[str, list[tuple[int, bytes]]]]:
+    """The benchmark a bounded block at a time, under a name of its own; the driver never holds more than one."""
     block, size = [], 0
     for row in benchmark.select(F.col(id_col).alias("i"), as_bytes(text_col).alias("t")).toLocalIterator():
         if row.i is None:
@@ -118,24 +123,29 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
         block.append((row.i, bytes(row.t)))
         size += len(row.t)
         if size >= BLOCK_BYTES:
-            yield block
+            yield uuid.uuid4().hex, block
             block, size = [], 0
     if block:
-        yield block
+        yield uuid.uuid4().hex, block
+
 
+_SEARCH: dict[tuple[str, int], Windows] = {}
 
-_SEARCH: dict[object, Windows] = {}
+
+def _windows(block: tuple[str, list], n: int) -> Windows:
+    """The tables of a block; a worker keeps those of one block at a time."""
+    key = (block[0], n)
+    if key not in _SEARCH:
+        _SEARCH.clear()
+        _SEARCH[key] = Windows(block[1], n)
+    return _SEARCH[key]
 
 
 def _scan(n: int, items):
     """One pass over documents for one broadcast block of items."""
 
     def run(batches):
-        key = (items.value[0], n)
-        if key not in _SEARCH:  # one block's tables at a time in a worker
-            _SEARCH.clear()
-            _SEARCH[key] = Windows(items.value[1], n)
-        windows = _SEARCH[key]
+        windows = _windows(items.value, n)
         for batch in batches:
             rows = {"row": batch.column(0), "id": batch.column(1)}
             n_words, starts, ends, found = [], [], [], []
@@ -186,9 +196,9 @@ def benchmark_hits(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")
     )
     passes = [
-        docs.mapInArrow(_scan(n, spark.sparkContext.broadcast((k, block))), _SPANS)
-        for k, block in enumerate(blocks(benchmark, item_col, item_text))
-    ] or [docs.mapInArrow(_scan(n, spark.sparkContext.broadcast((0, []))), _SPANS)]
+        docs.mapInArrow(_scan(n, spark.sparkContext.broadcast(block)), _SPANS)
+        for block in blocks(benchmark, item_col, item_text)
+    ] or [docs.mapInArrow(_scan(n, spark.sparkContext.broadcast((uuid.uuid4().hex, []))), _SPANS)]
     if len(passes) == 1:
         return passes[0].drop("row")
     found = passes[0]
@@ -216,6 +226,26 @@ def benchmark_hits(
     return merged.mapInArrow(unite, _SPANS.removeprefix("row long, "))
 
 
+def keep_clean(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose text has no word inside a benchmark window, with all their columns.
+
+    A benchmark of several blocks is searched block by block, each over what the ones before kept.
+    """
+    spark = documents.sparkSession
+    at = documents.columns.index(text_col)
+    for block in blocks(benchmark, "item_id", "text"):
+        items = spark.sparkContext.broadcast(block)
+
+        def run(batches, items=items):
+            windows = _windows(items.value, n)
+            for batch in batches:
+                texts = (x.as_py() for x in batch.column(at))
+                yield batch.filter(pa.array([x is None or not windows.found(words_of(x.encode("utf-8", "surrogatepass"))) for x in texts], pa.bool_()))
+
+        documents = documents.mapInArrow(run, documents.schema)
+    return documents
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Benchmark passages in whole documents; one row per document."""
     found = benchmark_hits(

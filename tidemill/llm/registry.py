@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemill.llm import decontaminate, html_text, language, licenses, neardup, packing, quality, repeats, warc
 
 
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op7_warc": warc.op7_warc,
         "op8_license_scan": licenses.op8_license_scan,
         "op10_html_text": html_text.op10_html_text,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -412,6 +412,34 @@ def repeated_bytes(
     )
 
 
+def _cut(data: bytes, spans: list[tuple[int, int]]) -> str:
+    """What is left, as text; a cut inside a character takes the whole character."""
+    return without(data, spans).decode("utf-8", "ignore")
+
+
+def cut_later_copies(documents: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """``documents`` with every passage of ``length`` bytes cut out wherever it starts again.
+
+    Columns and types stay; ``n_chars`` is counted anew if there. Rows of which nothing but white
+    space is left go; rows that nothing is cut from, null and empty texts among them, stay as they are.
+    """
+    names = documents.columns
+    doc, txt, keys = F.col(id_col).cast("long"), as_bytes(text_col), ["__key", "__spans"]
+    runs = repeated_runs(_keyed(documents, id_col, text_col), length, True, group)
+    spans = runs.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
+    joined = documents.withColumn("__key", F.xxhash64(doc, txt)).join(spans, "__key", "left")
+    whole = joined.where("__spans is null").drop(*keys)
+
+    def run(batches):
+        for batch in batches:
+            texts = [_cut(t.encode("utf-8", "surrogatepass"), _united(s)) for t, s in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
+            cols = [pa.array(texts, pa.string()) if c == text_col else pa.array([len(t) for t in texts], batch.column(c).type) if c == "n_chars" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([bool(t.strip()) for t in texts]))
+
+    cut = joined.where("__spans is not null").select(*names, "__spans").mapInArrow(run, documents.schema)
+    return whole.select(names).unionByName(cut)
+
+
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Bytes of whole texts in strings of 400 bytes that start anywhere else; one row per document."""
     found = repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400, keep_first=False)
