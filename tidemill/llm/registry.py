@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemill.llm import decontaminate, html_text, language, licenses, neardup, packing, quality, repeats, warc
+from tidemill.llm import decontaminate, html_text, language, licenses, media, neardup, packing, quality, repeats, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op6_suffix_dedup": repeats.op6_suffix_dedup,
         "op7_warc": warc.op7_warc,
         "op8_license_scan": licenses.op8_license_scan,
+        "op9_media_copies": media.op9_media_copies,
         "op10_html_text": html_text.op10_html_text,
         "pipeline": corpus_pipeline.run,
     }
