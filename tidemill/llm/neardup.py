@@ -11,8 +11,8 @@ Documents with equal sets are one class from the start. Then:
    sketch is shared most. Confirmed links give components.
 3. Lists whose members are in several components leave pairs to decide. Members outside a
    list's largest component are indexed in blocks of bounded size, all members of their lists
-   stream past, a union-sketch estimate drops clear strangers and an exact comparison of the
-   full sets decides. No pair is ever a row: a task reports the components that it joins.
+   stream past, union-sketch estimation drops clear strangers and an exact comparison of the
+   full sets of the others decides, as in step 2. No pair is ever a row: a task reports the components that it joins.
 
 A list, a centre or a class may hold any share of all rows: lists are only counted, joined by
 key and dealt out in salted blocks.
@@ -20,12 +20,10 @@ key and dealt out in salted blocks.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import LOWER, as_bytes, written
@@ -36,6 +34,8 @@ K = 64
 OVERLAP = 32
 #: Classes indexed together, and classes that stream past one copy of an index.
 BLOCK, STREAM = 256, 4096
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle.
+BLOOM = 1 << 26
 #: Words whose hash a Python worker remembers.
 MEMO = 500_000
 
@@ -80,7 +80,7 @@ def _sketches(n: int):
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), n)
                 sizes.append(len(s))
-                sigs.append(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) if len(s) else None)
+                sigs.append(_sig(s) if len(s) else None)
                 sketches.append(s[:K].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
@@ -92,9 +92,10 @@ def _sketches(n: int):
 
 def _entries(classes: DataFrame) -> DataFrame:
     """``v, sig, central``: the inverted lists' entries, of lists with two members or more."""
-    values = classes.select("sig", "n", F.explode("sketch").alias("v"))
+    values = classes.select("sig", F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    own = values.join(shared, "v").groupBy("sig", "n").agg(F.collect_list(F.struct("df", "v")).alias("e"))  # K at most
+    own = values.join(shared, "v").groupBy("sig").agg(F.collect_list(F.struct("df", "v")).alias("e"))  # K at most
+    own = own.join(classes.select("sig", "n"), "sig")
     k = F.least(F.col("n"), F.lit(K)).cast("int")
     need = F.least(F.lit(OVERLAP), F.ceil(F.col("n") * 4 / 5)).cast("int")
     # the values that no other class has come first among the rarest, and make no entries
@@ -105,7 +106,8 @@ def _entries(classes: DataFrame) -> DataFrame:
     return kept.select(F.col("e.v").alias("v"), "sig", "central")
 
 
-_NONE = _U(0xFFFFFFFFFFFFFFFF)
+#: Fills up short sketches; sketches are shipped as the upper 32 bits of their values, in order.
+_NONE = np.uint32(0xFFFFFFFF)
 
 
 def estimate(sketches: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +124,48 @@ def estimate(sketches: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (again & inside[:, 1:]).sum(1), np.where(inside, rank, 0).max(1)
 
 
-def _padded(s: np.ndarray) -> np.ndarray:
-    return np.concatenate([s[:K], np.full(K - len(s[:K]), _NONE)])
+def _padded(brief: list[int]) -> np.ndarray:
+    return np.concatenate([np.array(brief, np.int64).astype(np.uint32), np.full(K - len(brief), _NONE)])
+
+
+def _screen(batches):
+    """Of each block, the indexed and the streaming classes that a union sketch lets pass for near."""
+    block, sketches, held, used = None, [], [], np.zeros(0, bool)
+    kinds = {"block": pa.int64(), "salt": pa.int32(), "indexed": pa.bool_(), "sig": pa.int64(), "label": pa.int64()}
+
+    def flush(out):
+        for k in np.flatnonzero(used):
+            out.append((*block, True, *held[k]))
+
+    def packed(out):
+        cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
+
+    for batch in batches:
+        out = []
+        for b, salt, indexed, sig, label, brief in zip(*[batch.column(k).to_pylist() for k in (*kinds, "brief")], strict=True):
+            if (b, salt) != block:
+                if block:
+                    flush(out)
+                block, sketches, held, used, stack = (b, salt), [], [], np.zeros(0, bool), None
+            if indexed:
+                sketches.append(_padded(brief))
+                held.append((sig, label))
+                continue
+            if not held:
+                continue
+            if stack is None:
+                stack, used = np.stack(sketches), np.zeros(len(held), bool)
+            shared, size = estimate(stack, _padded(brief))
+            able = (shared >= np.minimum(OVERLAP, np.ceil(size * 0.8))) & np.array([h[0] != sig for h in held])
+            if able.any():
+                used |= able
+                out.append((b, salt, False, sig, label))
+        yield packed(out)
+    if block:
+        out = []
+        flush(out)
+        yield packed(out)
 
 
 class _Index:
@@ -152,22 +194,17 @@ class _Index:
         order = np.argsort(every, kind="stable")
         self.values, self.owner = every[order], owner[order]
         self.sizes = np.array([len(x) for x in self.sets])
-        self.sketches = np.stack([_padded(x) for x in self.sets])
 
     def search(self, label: int, s: np.ndarray, percent: int) -> list[tuple[int, int]]:
         """Links that join two components not joined here before."""
         if self.values is None:
             self._build()
-        shared, size = estimate(self.sketches, _padded(s))
-        able = shared >= np.minimum(OVERLAP, np.ceil(size * 0.8))
-        if not able.any():
-            return []
         lo, hi = np.searchsorted(self.values, s, "left"), np.searchsorted(self.values, s, "right")
         n = hi - lo
         at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
         common = np.bincount(self.owner[at], minlength=len(self.sets))
         out = []
-        for k in np.flatnonzero(able & (100 * common >= percent * (self.sizes + len(s) - common))):
+        for k in np.flatnonzero(100 * common >= percent * (self.sizes + len(s) - common)):
             a, b = self.root(self.labels[k]), self.root(label)
             if a != b:
                 self.parent[max(a, b)] = min(a, b)
@@ -175,18 +212,25 @@ class _Index:
         return out
 
 
+def _sig(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64))
+
+
 def _verify(n: int, percent: int):
-    """Rows come sorted by block, indexed classes first."""
+    """Rows come sorted by block, indexed classes first. A text that isn't its class's (rows can share
+    an id) is passed over."""
 
     def run(batches):
         block, index = None, None
         for batch in batches:
             a, b = [], []
-            cols = [batch.column(k).to_pylist() for k in ("block", "salt", "indexed", "label")]
-            for where_block, salt, indexed, label, text in zip(*cols, batch.column("text"), strict=True):
+            cols = [batch.column(k).to_pylist() for k in ("block", "salt", "indexed", "sig", "label")]
+            for where_block, salt, indexed, sig, label, text in zip(*cols, batch.column("text"), strict=True):
                 if (where_block, salt) != block:
                     block, index = (where_block, salt), _Index()
                 s = shingle_set(text.as_py(), n)
+                if not len(s) or _sig(s) != sig:
+                    continue
                 if indexed:
                     index.add(label, s)
                 elif index.sets:
@@ -198,10 +242,37 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _confirm(blocks: DataFrame, members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _places(column: str):
+    """Three places of an id in the Bloom filter."""
+    return F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(BLOOM)).cast("int") for i in range(3)])
+
+
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most of those whose id isn't in ``ids(rep)``, by a filter of ``BLOOM`` bits.
+
+    The filter is 8 MB whatever the number of ids; where they fill it, more rows pass, none is lost.
+    """
+    place = ids.select(F.explode(_places("rep")).alias("p"))
+    words = place.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, p & 31)")).alias("bits")).toArrow()
+    bits = np.zeros(BLOOM // 32, np.int32)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            p = batch.column(2).flatten().to_numpy().reshape(-1, 3)
+            there = (shared.value[p >> 5] >> (p & 31)) & 1
+            yield batch.select([0, 1]).filter(pa.array(there.all(1)))
+
+    rows = docs.where("doc_id is not null").select("doc_id", "text", _places("doc_id").alias("p"))
+    return rows.mapInArrow(run, "doc_id long, text binary")
+
+
+def _confirm(blocks: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Exact links between ``blocks(block, sig, label)`` and ``members(block, sig, label)``.
 
-    A block that many classes stream past is copied to as many salts as it takes.
+    A block that many classes stream past is copied to as many salts as it takes. Sketches go first;
+    texts are fetched for the classes whose sketches pass.
     """
     size = members.groupBy("block").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("salts"))
     held = (
@@ -212,7 +283,12 @@ def _confirm(blocks: DataFrame, members: DataFrame, texts: DataFrame, n: int, pe
     stream = members.join(size, "block").select(
         "block", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("indexed"), "sig", "label"
     )
-    rows = held.unionByName(stream).join(texts, "sig")
+    brief = classes.select("sig", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("brief"))
+    rows = held.unionByName(stream).join(brief, "sig").repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("indexed"))
+    near = written(rows.mapInArrow(_screen, "block long, salt int, indexed boolean, sig long, label long"), "near")
+    near = near.join(classes.select("sig", "rep"), "sig")
+    ids = near.select("rep").distinct()
+    rows = near.withColumnRenamed("rep", "doc_id").join(_likely(docs, ids), "doc_id").drop("doc_id")
     rows = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("indexed"))
     return rows.mapInArrow(_verify(n, percent), "a long, b long")
 
@@ -240,17 +316,13 @@ def near_duplicates(
     reps = written(classes, "classes")
     entries = written(_entries(reps.where("rep is not null")), "entries")
 
-    wanted = entries.select("sig").distinct().join(reps.select("sig", "rep"), "sig")
-    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("sig", "text")
-    texts = written(texts.mapInArrow(_only_own(n), "sig long, text binary"), "texts")
-
     # 2. each class against the centre that most of its lists name
     centres = entries.groupBy("v").agg(F.max(F.struct("central", "sig")).alias("c")).select("v", F.col("c.sig").alias("centre"))
     named = entries.join(centres, "v").where("sig <> centre").groupBy("sig", "centre").agg(F.count("*").alias("times"))
     best = named.groupBy("sig").agg(F.max(F.struct("times", "centre")).alias("b"))
     pairs = written(best.select("sig", F.col("b.centre").alias("block")), "centres")
     blocks = pairs.select("block").distinct().select("block", F.col("block").alias("sig"), F.col("block").alias("label"))
-    first = written(_confirm(blocks, pairs.select("block", "sig", F.col("sig").alias("label")), texts, n, percent), "links")
+    first = written(_confirm(blocks, pairs.select("block", "sig", F.col("sig").alias("label")), reps, docs, n, percent), "links")
     joined = components(first)
 
     # 3. lists that hold several components
@@ -268,7 +340,7 @@ def near_duplicates(
     home = written(home, "blocks")
     lists = minor.select("v", "sig").join(home.select("sig", "block"), "sig").select("v", "block").distinct()
     members = lists.join(at, "v").select("block", "sig", "label").distinct()
-    second = _confirm(home, members, texts, n, percent)
+    second = written(_confirm(home, members, reps, docs, n, percent), "links")
     group = components(first.unionByName(second))
 
     labels = reps.select("sig", "rep").join(group.withColumnRenamed("node", "sig"), "sig", "left")
@@ -283,20 +355,6 @@ def near_duplicates(
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _only_own(n: int):
-    """Of rows that share an id, the text that the class was made from."""
-
-    def run(batches):
-        for batch in batches:
-            sig, keep = batch.column(0).to_pylist(), []
-            for want, text in zip(sig, batch.column(1), strict=True):
-                s = shingle_set(text.as_py(), n)
-                keep.append(len(s) > 0 and int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)) == want)
-            yield batch.filter(pa.array(keep))
-
-    return run
-
-
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Groups of whole documents by 2-word shingles; one row per document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=2)
