@@ -25,6 +25,7 @@ BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 #: Labelled rows that the network is fitted on, at most; the only bounded statistic here.
 SAMPLE = 12_000
 THRESHOLD = 0.3
+FEATURES = 2 * DIM + 3
 #: Words handled at once.
 SLICE = 200_000
 MEMO = 500_000
@@ -103,7 +104,7 @@ def word_vectors(documents: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """One row of ``2 * DIM + 3`` numbers per text; zeros for one without words."""
+    """One row of ``FEATURES`` numbers per text; zeros for one without words."""
     n = len(texts)
     total, square, like = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros(n)
     count = np.zeros(n)
@@ -202,7 +203,7 @@ def fit(documents: DataFrame, labels: DataFrame, vectors, sample: int = SAMPLE,
 
     got = rows.mapInArrow(features, "id long, y double, crc long, x array<double>").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable") if got.num_rows else np.empty(0, int)
-    x = np.array(got.column("x").to_pylist()).reshape(got.num_rows, -1)[order]
+    x = np.array(got.column("x").to_pylist()).reshape(got.num_rows, FEATURES)[order]
     y, crc = got.column("y").to_numpy()[order], got.column("crc").to_numpy()[order]
     return Network().fit(x, y, crc % 5 == 1)
 
