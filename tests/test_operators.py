@@ -116,3 +116,18 @@ def test_lease_rules(spark):
     got = {r.work_id: (r.dead, r.gone, r.available_at_ms, r.last_error) for r in work.settled(rows, out, 1000, 7).collect()}
     assert got == {1: (1, False, 10, "e"), 4: (0, False, 1007, "e")}
     assert [r.work_id for r in work.claimable(rows, 10, 5).collect()] == [3]
+
+
+def test_real_clock_and_scheduler():
+    import threading
+
+    from tidemill.runtime import SystemClock, ThreadScheduler
+
+    clock, s, once, ticks = SystemClock(), ThreadScheduler(), threading.Event(), threading.Semaphore(0)
+    s.once(clock.now_ms() + 20, once.set)
+    never = threading.Event()
+    s.once(clock.now_ms() + 60_000, never.set)()
+    stop = s.every(10, ticks.release)
+    assert once.wait(5) and ticks.acquire(timeout=5) and ticks.acquire(timeout=5)
+    stop()
+    assert not never.is_set()
