@@ -240,7 +240,7 @@ def _texts_with_repeats(rng):
     return [*texts, "ab" * 200, "ab" * 150, "x" * 500, "a b c " * 60, texts[3], texts[3], "", None, "short"]
 
 
-@pytest.mark.parametrize(("keep_first", "group"), [(False, 20_000), (True, 20_000), (False, 1), (True, 1)])
+@pytest.mark.parametrize(("keep_first", "group"), [(False, repeats.GROUP), (True, repeats.GROUP), (False, 1), (True, 1)])
 def test_repeats_against_brute_force(spark, keep_first, group):
     length, texts = 80, _texts_with_repeats(random.Random(7))
     rows = {r.doc_id: r for r in repeats.repeated_bytes(_docs(spark, texts), length, keep_first, group=group).collect()}
