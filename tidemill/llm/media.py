@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import written
+from tidemill.llm.common import split_by_keys, written
 
 SCALES = (1.0, 0.75, 0.5)
 RADIUS = 9
@@ -159,16 +159,19 @@ def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image",
     an id no class; rows that repeat an id stay. Other columns are ignored.
     """
     rows = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(image_col).cast("binary").alias("image"))
-    rows = rows.withColumn("sum", F.sha1(F.coalesce("image", F.lit(b"")))).withColumn("is_query", F.coalesce(F.col("media_id") % every == 0, F.lit(False)))
-    classes = rows.groupBy("sum").agg(F.min("media_id").alias("class_id"), F.max("is_query").alias("asked"), F.first("image").alias("image"))
-    classes = written(classes.where("class_id is not null"), "images")
-    found = written(classes.select("class_id", "image").mapInArrow(_describe, _ROWS), "corners")
-
-    keyed = found.select("*", F.posexplode("keys").alias("table", "key")).drop("keys")
+    rows = rows.withColumn("sum", F.sha1(F.coalesce("image", F.lit(b""))))
+    listed = written(rows.select("media_id", "sum", F.coalesce(F.col("media_id") % every == 0, F.lit(False)).alias("is_query")), "media")
+    classes = listed.groupBy("sum").agg(F.min("media_id").alias("class_id"), F.max("is_query").alias("asked"))
+    classes = written(classes.where("class_id is not null"), "classes")
+    firsts = rows.join(classes.select("sum", F.col("class_id").alias("media_id")), ["sum", "media_id"])
+    found = written(firsts.select("media_id", "image").mapInArrow(_describe, _ROWS), "corners")
+
+    keyed = found.select("*", F.posexplode("keys").alias("table", "key")).drop("keys").withColumn("at", F.xxhash64("table", "key"))
     asked = keyed.join(classes.where("asked").select("class_id"), "class_id", "left_semi")
-    a = asked.select("table", "key", *[F.col(c).alias(f"q_{c}") for c in ("class_id", "corner", "y", "x", "scale", "angle", "high", "low")])
+    a = asked.select("at", "table", "key", *[F.col(c).alias(f"q_{c}") for c in ("class_id", "corner", "y", "x", "scale", "angle", "high", "low")])
+    there, _ = split_by_keys(keyed, "at", asked.select("at"))
     far = F.bit_count(F.col("high").bitwiseXOR(F.col("q_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("q_low")))
-    pairs = a.join(keyed, ["table", "key"]).where((F.col("class_id") != F.col("q_class_id")) & (far <= DISTANCE))
+    pairs = a.join(there, ["at", "table", "key"]).where((F.col("class_id") != F.col("q_class_id")) & (far <= DISTANCE))
 
     turn, zoom = F.col("angle") - F.col("q_angle"), F.col("q_scale") / F.col("scale")
     dy = F.col("y") - zoom * (F.col("q_y") * F.cos(turn) + F.col("q_x") * F.sin(turn))
@@ -181,11 +184,10 @@ def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image",
     ).select("q_class_id", "class_id", "q_corner", F.col("turn") % 12, "zoom", "cy", F.explode("cxs").alias("cx")).toDF("q", "c", "corner", "turn", "zoom", "cy", "cx")
     agreed = voted.distinct().groupBy("q", "c", "turn", "zoom", "cy", "cx").count().where(F.col("count") >= votes)
     links = agreed.groupBy("q").agg(F.array_sort(F.collect_set("c")).alias("links"))
-    named = classes.select("class_id", F.sha1(F.coalesce("image", F.lit(b""))).alias("sum")).join(links.withColumnRenamed("q", "class_id"), "class_id", "left")
-    named = named.select("sum", "class_id", F.coalesce("links", F.array().cast("array<long>")).alias("links"))
-    return rows.select("media_id", "is_query", "sum").join(named, "sum", "left").select(
-        "media_id", "class_id", "is_query", F.coalesce(F.size("links"), F.lit(0)).alias("n_links"), F.coalesce("links", F.array().cast("array<long>")).alias("links")
-    )
+    none = F.array().cast("array<long>")
+    named = classes.join(links.withColumnRenamed("q", "class_id"), "class_id", "left").select("sum", "class_id", F.coalesce("links", none).alias("links"))
+    out = listed.join(named, "sum", "left").withColumn("links", F.coalesce("links", none))
+    return out.select("media_id", "class_id", "is_query", F.size("links").alias("n_links"), "links")
 
 
 SIDE = 64
@@ -232,4 +234,4 @@ def rendered(vectors: DataFrame) -> DataFrame:
 
 def op9_media_copies(spark, sf_dir: str) -> DataFrame:
     """Copies among the images of all vectors; one row per image."""
-    return copies(written(rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "media"))
+    return copies(rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
