@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,43 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the filter that tells which rows a set of keys may concern.
+FILTER_BITS = 1 << 26
+
+
+def _places(key: str):
+    """Three places of a key in the filter; -1 for null, which is in no set."""
+    some = F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(FILTER_BITS)).cast("int") for i in range(3)])
+    return F.when(F.col(key).isNull(), F.array(*[F.lit(-1)] * 3)).otherwise(some)
+
+
+def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` as rows whose key may be in ``keys`` and rows whose key surely isn't, without a shuffle of ``df``.
+
+    A Bloom filter of fixed size (8 MB, whatever the number of keys) is made by summing in Spark and
+    broadcast. Where keys fill it more rows count as possible, none is lost: the possible rows are for
+    an exact join. Only they have to be shuffled, which spares the texts of all others.
+    """
+    place = keys.select(F.col(keys.columns[0]).alias(key)).where(F.col(key).isNotNull()).select(F.explode(_places(key)).alias("p"))
+    words = place.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, p & 31)")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, np.int32)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+    n = len(df.columns)
+
+    def part(possible: bool):
+        def run(batches):
+            for batch in batches:
+                p = batch.column(n).flatten().to_numpy().reshape(-1, 3)
+                there = ((shared.value[p >> 5] >> (p & 31)) & 1).all(1) & (p[:, 0] >= 0)
+                yield batch.select(list(range(n))).filter(pa.array(there if possible else ~there))
+
+        return run
+
+    marked = df.withColumn("__places", _places(key))
+    return marked.mapInArrow(part(True), df.schema), marked.mapInArrow(part(False), df.schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,10 +1,11 @@
 """Repeated passages by longest-previous-factor arrays, over a corpus of any size.
 
-1. Anchors. Winnowing picks in each text the byte 32-grams whose hash is the least of some window;
-   any passage of ``length`` bytes holds one, and equal passages hold equal ones.
-2. Contexts. An anchor seen once can't be in a repeated passage. Around the others, the context
-   (all passages of ``length`` bytes that hold the anchor) decides. Equal contexts are copies of
-   one another outright; one of each kind goes on.
+1. Anchors. The anchor of a passage of ``length`` bytes is the least hash of its byte 32-grams, so
+   equal passages have equal anchors. Neighbouring passages mostly share theirs: a text falls into
+   stretches, runs of passages with one anchor.
+2. Contexts. An anchor seen once can't be a repeated passage's. Of the others, the context (the
+   bytes of a stretch's passages) decides. Equal contexts are copies of one another outright; one
+   of each kind goes on.
 3. Suffix order. The contexts of an anchor are laid end to end and the suffixes long enough to
    start a passage are sorted. In that order the previous and the next smaller position are the
    nearest earlier places, and the larger of the two common prefixes is the longest previous
@@ -26,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import as_bytes, written
+from tidemill.llm.common import as_bytes, split_by_keys, written
 
 LENGTH = 400
 GRAM = 32
-#: Different contexts of one anchor that one task may hold (each under 800 bytes).
-GROUP = 20_000
-#: Bytes of contexts sorted at once.
-CHUNK = 1 << 20
+#: Bytes of different contexts of one anchor that one task may hold; a context has some 600.
+GROUP = 12_000_000
+#: Bytes of contexts sorted at once; so much stays in a core's cache.
+CHUNK = 1 << 18
 
 _U = np.uint64
 _MULT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -61,80 +62,71 @@ def gram_hashes(data: bytes) -> np.ndarray:
     return h
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors, and whether an equal one is within the same window.
+def stretches(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``first, last, anchor, multi``: runs of passages (by their first byte) with one anchor.
 
-    Of a run of equal anchors that follow one another within a window (text that repeats itself) the
-    first and last of every half window are kept: each window that has any of them has one of those.
+    Every passage of the text is in one run. ``multi``: the anchor is at several places of the run, so
+    that the run may repeat itself.
     """
     width = length - GRAM + 1
-    none = np.empty(0, np.int64)
     if len(data) < length:
-        return none, np.empty(0, np.uint64), none.astype(bool)
+        none = np.empty(0, np.int64)
+        return none, none, np.empty(0, np.uint64), none.astype(bool)
     h = gram_hashes(data)
     least = _slide(h, width, np.minimum)
+    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    last = np.r_[first[1:] - 1, len(least) - 1]
+    anchor = least[first]
+    # the places of each run's anchor: grams that are the least of a window, those inside the run that equal it
     edge = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(h == _slide(np.concatenate([edge, least, edge]), width, np.maximum))
-    value = h[at]
-    tied = (value[1:] == value[:-1]) & (np.diff(at) < width)
-    multi = np.r_[False, tied] | np.r_[tied, False]
-    if tied.any():
-        start = np.maximum.accumulate(np.where(np.r_[True, ~tied], np.arange(len(at)), 0))
-        half = (at - at[start]) // (width // 2)
-        new = np.r_[True, (start[1:] != start[:-1]) | (half[1:] != half[:-1])]
-        keep = new | np.r_[new[1:], True]
-        at, value, multi = at[keep], value[keep], multi[keep]
-    return at, value, multi
+    lo, hi = np.searchsorted(at, first), np.searchsorted(at, last + width)
+    n = hi - lo
+    run = np.repeat(np.arange(len(first)), n)
+    inside = h[at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]] == anchor[run]
+    return first, last, anchor, np.bincount(run[inside], minlength=len(first)) > 1
 
 
 def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _anchor_rows(length: int):
-    around = length - GRAM
-
+def _stretch_rows(length: int):
     def run(batches):
         for batch in batches:
-            cols = [[], [], [], [], [], []]
+            cols = [[] for _ in range(6)]
             for k, text in enumerate(batch.column("text")):
                 data = text.as_py()
-                at, value, multi = anchors(data, length)
-                if not len(at):
+                first, last, anchor, multi = stretches(data, length)
+                if not len(first):
                     continue
-                own = [xxhash.xxh3_64_intdigest(data[max(0, p - around) : p + length], min(p, around)) for p in at.tolist()]
-                for col, part in zip(cols, (np.full(len(at), k), at, np.full(len(at), len(data)), _signed(value), multi, _signed(np.array(own, np.uint64))), strict=True):
+                own = [xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                for col, part in zip(cols, (np.full(len(first), k), first, last + length, _signed(anchor), multi, _signed(np.array(own, np.uint64))), strict=True):
                     col.append(part)
             if not cols[0]:
                 continue
-            row, at, size, value, multi, own = (np.concatenate(c) for c in cols)
+            row, a, b, anchor, multi, own = (np.concatenate(c) for c in cols)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(row)), batch.column("doc_id").take(pa.array(row)), pa.array(at), pa.array(size), pa.array(value), pa.array(multi), pa.array(own)],
-                names=["key", "doc_id", "at", "size", "anchor", "multi", "context"],
+                [batch.column("key").take(pa.array(row)), batch.column("doc_id").take(pa.array(row)), *map(pa.array, (a, b, anchor, multi, own))],
+                names=["key", "doc_id", "a", "b", "anchor", "multi", "context"],
             )
 
     return run
 
 
-def _context_rows(length: int):
-    around = length - GRAM
-
-    def run(batches):
-        for batch in batches:
-            docs = zip(*[batch.column(k).to_pylist() for k in ("key", "doc_id", "wanted")], batch.column("text"), strict=True)
-            out = [[], [], [], [], []]
-            for key, doc, wanted, text in docs:
-                data = text.as_py()
-                for w in wanted:
-                    start = max(0, w["at"] - around)
-                    for col, x in zip(out, (w["anchor"], key, doc, start, data[start : w["at"] + length]), strict=True):
-                        col.append(x)
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["anchor", "key", "doc_id", "start", "bytes"]
-            )
-
-    return run
+def _context_rows(batches):
+    for batch in batches:
+        docs = zip(*[batch.column(k).to_pylist() for k in ("key", "doc_id", "wanted")], batch.column("text"), strict=True)
+        out = [[], [], [], [], []]
+        for key, doc, wanted, text in docs:
+            data = text.as_py()
+            for w in wanted:
+                for col, x in zip(out, (w["anchor"], key, doc, w["a"], data[w["a"] : w["b"]]), strict=True):
+                    col.append(x)
+        kinds = [pa.int64()] * 4 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["anchor", "key", "doc_id", "start", "bytes"]
+        )
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
@@ -144,45 +136,45 @@ def _rank(keys: np.ndarray) -> np.ndarray:
 class SuffixOrder:
     """Suffixes of a text of at least ``length`` bytes each, sorted by their first ``length`` bytes.
 
-    ``starts`` are their places. Ranks of 8, 16, 32 ... bytes are doubled; the order is by the ranks
-    that make up ``length``, and the common prefixes come from comparing ranks of falling size.
+    ``starts`` are their places. Ranks of 8 bytes are joined three by three (two by two where three
+    don't fit a word) to ranks of 24, 72, 216 ... bytes; two overlapping ranks give the order.
+    ``common`` has the bytes that neighbours in order share, as far as the ranks tell them apart.
     """
 
     def __init__(self, text: bytes, starts: np.ndarray, length: int = LENGTH):
         word = np.ndarray((len(text),), ">u8", text + b"\0" * 8, strides=(1,)).astype(np.uint64)
-        ranks, size = {8: _rank(word)}, 8
-        while 2 * size <= length:
-            half = ranks[size]
-            far = np.zeros_like(half)
-            far[:-size] = half[size:] + 1
-            ranks[2 * size] = _rank(half * (int(half.max()) + 3) + far)
-            size *= 2
-        self.length, self.starts, self.ranks = length, starts, ranks
-        parts, at = [], 0
-        for size in sorted(ranks, reverse=True):
-            while length - at >= size:
-                parts.append(ranks[size][starts + at])
-                at += size
-        if at < length:  # what is left is shorter than the smallest rank: let that reach back
-            parts.append(ranks[8][starts + length - 8])
-        self.order = np.lexsort(parts[::-1])
-        key = np.stack(parts)[:, self.order]
-        self.same = (key[:, 1:] == key[:, :-1]).all(axis=0)  # neighbours in order equal over the whole length
+        self.length, self.starts, self.ranks = length, starts, {8: _rank(word)}
+        size = 8
+        while 2 * size < length:
+            rank = self.ranks[size]
+            base = int(rank.max()) + 2
+            times = 3 if base**3 < 2**62 and 3 * size <= length else 2
+            key = rank + 1
+            for k in range(1, times):
+                key = key * base
+                if k * size < len(rank):
+                    key[: -k * size] += rank[k * size :] + 1
+            size *= times
+            self.ranks[size] = _rank(key)
+        head, tail = self.ranks[size][starts], self.ranks[size][starts + length - size]
+        key = head * (int(tail.max(initial=0)) + 1) + tail
+        self.order = np.argsort(key)
+        key = key[self.order]
+        self.same = key[1:] == key[:-1]  # neighbours equal over the whole length
         self.common = self._common()
 
     def _common(self) -> np.ndarray:
-        """Bytes that neighbours in order have in common, in steps of 8, ``length`` at most."""
-        a, b = self.starts[self.order[:-1]].copy(), self.starts[self.order[1:]].copy()
-        out = np.zeros(len(a), np.int64)
+        out = np.zeros(max(0, len(self.order) - 1), np.int64)
+        a, b = self.starts[self.order[:-1]], self.starts[self.order[1:]]
+        todo = np.flatnonzero(~self.same)
         for size in sorted(self.ranks, reverse=True):
             rank = self.ranks[size]
-            for _ in range(max(1, self.length // max(self.ranks)) if size == max(self.ranks) else 1):
-                inside = (np.minimum(a, b) >= 0) & (np.maximum(a, b) < len(rank)) & (out + size <= self.length)
-                equal = inside & (rank[np.where(inside, a, 0)] == rank[np.where(inside, b, 0)])
-                step = np.where(equal, size, 0)
-                out += step
-                a += step
-                b += step
+            for _ in range(2):  # no rank fits a third time into what the larger ones left
+                at, to = a[todo] + out[todo], b[todo] + out[todo]
+                inside = (np.maximum(at, to) < len(rank)) & (out[todo] + size <= self.length)
+                equal = inside & (rank[np.where(inside, at, 0)] == rank[np.where(inside, to, 0)])
+                out[todo[equal]] += size
+        out[self.same] = self.length
         return np.where(self.same, self.length, np.minimum(out, self.length - 1))
 
 
@@ -314,25 +306,27 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, keep_first: bool = True
     """
     if length < 2 * GRAM:
         raise ValueError(f"passages have {2 * GRAM} bytes or more")
-    around = length - GRAM
-    kinds = "key long, doc_id long, at long, size long, anchor long, multi boolean, context long"
-    every = written(docs.mapInArrow(_anchor_rows(length), kinds), "anchors")
+    kinds = "key long, doc_id long, a long, b long, anchor long, multi boolean, context long"
+    every = written(docs.mapInArrow(_stretch_rows(length), kinds), "stretches")
     common = every.groupBy("anchor").agg(F.count("*").alias("c"), F.max("multi").alias("m")).where("c > 1 or m").select("anchor")
     shared = written(every.join(common, "anchor"), "shared")
 
     alike = shared.groupBy("anchor", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "at")).alias("first"), F.max("multi").alias("m")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "a", "b")).alias("first"), F.max("multi").alias("m")
     )
     alike = written(alike, "contexts")
     copied = shared.join(alike.where("n > 1").select("anchor", "context", "first"), ["anchor", "context"])
     if keep_first:
-        copied = copied.where(~(F.struct("key", "at") == F.struct("first.key", "first.at")))
-    outright = copied.select("key", F.greatest(F.col("at") - around, F.lit(0)).alias("a"), F.least(F.col("at") + length, "size").alias("b"))
-
-    sizes = alike.groupBy("anchor").agg(F.count("*").alias("k"), F.max("m").alias("m")).where("k > 1 or m").select("anchor", "k")
-    chosen = alike.join(sizes, "anchor").select("anchor", "k", F.col("first.key").alias("key"), F.col("first.at").alias("at"))
-    wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))  # a text's own anchors
-    contexts = docs.join(wanted, "key").mapInArrow(_context_rows(length), "anchor long, key long, doc_id long, start long, bytes binary")
+        copied = copied.where(~(F.struct("key", "a") == F.struct("first.key", "first.a")))
+    outright = copied.select("key", "a", "b")
+
+    sizes = alike.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("first.b") - F.col("first.a")).alias("k"), F.max("m").alias("m"))
+    sizes = sizes.where("n > 1 or m").select("anchor", "k")
+    chosen = alike.join(sizes, "anchor").select("anchor", "first.key", "first.a", "first.b")
+    wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("wanted"))  # a text's own stretches
+    wanted = written(wanted, "wanted")
+    asked, _ = split_by_keys(docs, "key", wanted.select("key"))
+    contexts = asked.join(wanted, "key").mapInArrow(_context_rows, "anchor long, key long, doc_id long, start long, bytes binary")
     large = sizes.where(F.col("k") > group).select("anchor")
     if large.isEmpty():
         parts = contexts
@@ -378,8 +372,10 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _with_spans(documents: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str, group: int) -> DataFrame:
     docs = _keyed(documents, id_col, text_col)
     runs = repeated_runs(docs, length, keep_first, group)
-    spans = runs.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # one text's own runs
-    return docs.join(spans, "key", "left")
+    spans = written(runs.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")  # one text's own runs
+    possible, clear = split_by_keys(docs, "key", spans.select("key"))
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    return possible.join(spans, "key", "left").unionByName(clear.withColumn("spans", none))
 
 
 def repeated_bytes(
@@ -427,8 +423,10 @@ def cut_later_copies(documents: DataFrame, length: int = LENGTH, id_col: str = "
     doc, txt, keys = F.col(id_col).cast("long"), as_bytes(text_col), ["__key", "__spans"]
     runs = repeated_runs(_keyed(documents, id_col, text_col), length, True, group)
     spans = runs.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
-    joined = documents.withColumn("__key", F.xxhash64(doc, txt)).join(spans, "__key", "left")
-    whole = joined.where("__spans is null").drop(*keys)
+    spans = written(spans, "spans")
+    possible, clear = split_by_keys(documents.withColumn("__key", F.xxhash64(doc, txt)), "__key", spans.select("__key"))
+    joined = possible.join(spans, "__key", "left")
+    whole = joined.where("__spans is null").drop(*keys).select(names).unionByName(clear.select(names))
 
     def run(batches):
         for batch in batches:
@@ -437,7 +435,7 @@ def cut_later_copies(documents: DataFrame, length: int = LENGTH, id_col: str = "
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([bool(t.strip()) for t in texts]))
 
     cut = joined.where("__spans is not null").select(*names, "__spans").mapInArrow(run, documents.schema)
-    return whole.select(names).unionByName(cut)
+    return whole.unionByName(cut)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
