@@ -252,6 +252,16 @@ def test_repeats_against_brute_force(spark, keep_first, group):
         assert r.n_spans == sum(k - 1 not in gone for k in gone)
 
 
+def test_stretches_of_a_long_text_cover_it_once(monkeypatch):
+    data = bytes(random.Random(2).choice(b"abc") for _ in range(1000))
+    for size in (90, 127, 5000):
+        monkeypatch.setattr(repeats, "SEGMENT", size)
+        first, last, anchor, _ = repeats.stretches(data, 80)
+        assert [p for a, b in zip(first, last, strict=True) for p in range(a, b + 1)] == list(range(1000 - 80 + 1))
+        h = repeats.gram_hashes(data)
+        assert all(h[p : p + 49].min() == v for a, b, v in zip(first, last, anchor, strict=True) for p in range(a, b + 1))
+
+
 def test_longest_previous_factors():
     rng = random.Random(8)
     for _ in range(30):

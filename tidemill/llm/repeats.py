@@ -35,6 +35,8 @@ GRAM = 32
 GROUP = 12_000_000
 #: Bytes of contexts sorted at once; so much stays in a core's cache.
 CHUNK = 1 << 18
+#: Passages of one text that are looked at together; longer texts are taken piece by piece.
+SEGMENT = 4 << 20
 
 _U = np.uint64
 _MULT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -66,8 +68,12 @@ def stretches(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray
     """``first, last, anchor, multi``: runs of passages (by their first byte) with one anchor.
 
     Every passage of the text is in one run. ``multi``: the anchor is at several places of the run, so
-    that the run may repeat itself.
+    that the run may repeat itself. A run ends where a piece of ``SEGMENT`` passages does.
     """
+    if len(data) > SEGMENT + length:
+        parts = [(i, stretches(data[i : i + SEGMENT + length - 1], length)) for i in range(0, len(data) - length + 1, SEGMENT)]
+        first, last = (np.concatenate([i + p[k] for i, p in parts]) for k in (0, 1))
+        return first, last, *(np.concatenate([p[k] for _, p in parts]) for k in (2, 3))
     width = length - GRAM + 1
     if len(data) < length:
         none = np.empty(0, np.int64)
