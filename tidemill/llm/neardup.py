@@ -26,16 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER, as_bytes, written
+from tidemill.llm.common import LOWER, as_bytes, split_by_keys, written
 from tidemill.llm.graph import components
 
 K = 64
 #: Of 64 draws at similarity 0.8, fewer than 32 are shared once in 6 * 10^7.
 OVERLAP = 32
 #: Classes indexed together, and classes that stream past one copy of an index.
-BLOCK, STREAM = 256, 4096
-#: Bits of the filter that keeps texts nobody asks for out of a shuffle.
-BLOOM = 1 << 26
+BLOCK, STREAM = 2048, 8192
 #: Words whose hash a Python worker remembers.
 MEMO = 500_000
 
@@ -128,9 +126,34 @@ def _padded(brief: list[int]) -> np.ndarray:
     return np.concatenate([np.array(brief, np.int64).astype(np.uint32), np.full(K - len(brief), _NONE)])
 
 
+class _Sketches:
+    """Sketches of a block's indexed classes, looked up by the values they retain."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.rows = np.stack(rows)
+        flat = self.rows.ravel()
+        order = np.argsort(flat, kind="stable")
+        order = order[: np.searchsorted(flat[order], _NONE)]
+        self.values, self.owner = flat[order], order // K
+        self.sizes = (self.rows != _NONE).sum(1)
+
+    def near(self, one: np.ndarray) -> np.ndarray:
+        """Which rows' similarity to ``one`` may reach 0.8, by shared values and then by the union's sketch."""
+        own = one[one != _NONE]
+        lo, hi = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        overlap = np.bincount(self.owner[at], minlength=len(self.rows))
+        k = np.flatnonzero(overlap >= np.minimum(OVERLAP, np.ceil(0.8 * np.maximum(self.sizes, len(own)))))
+        if len(k):
+            shared, size = estimate(self.rows[k], one)
+            k = k[shared >= np.minimum(OVERLAP, np.ceil(0.8 * size))]
+        return k
+
+
 def _screen(batches):
     """Of each block, the indexed and the streaming classes that a union sketch lets pass for near."""
-    block, sketches, held, used = None, [], [], np.zeros(0, bool)
+    block, rows, held, used, index = None, [], [], np.zeros(0, bool), None
     kinds = {"block": pa.int64(), "salt": pa.int32(), "indexed": pa.bool_(), "sig": pa.int64(), "label": pa.int64()}
 
     def flush(out):
@@ -147,19 +170,18 @@ def _screen(batches):
             if (b, salt) != block:
                 if block:
                     flush(out)
-                block, sketches, held, used, stack = (b, salt), [], [], np.zeros(0, bool), None
+                block, rows, held, used, index = (b, salt), [], [], np.zeros(0, bool), None
             if indexed:
-                sketches.append(_padded(brief))
+                rows.append(_padded(brief))
                 held.append((sig, label))
                 continue
             if not held:
                 continue
-            if stack is None:
-                stack, used = np.stack(sketches), np.zeros(len(held), bool)
-            shared, size = estimate(stack, _padded(brief))
-            able = (shared >= np.minimum(OVERLAP, np.ceil(size * 0.8))) & np.array([h[0] != sig for h in held])
-            if able.any():
-                used |= able
+            if index is None:
+                index, used = _Sketches(rows), np.zeros(len(held), bool)
+            near = [k for k in index.near(_padded(brief)) if held[k][1] != label]
+            if near:
+                used[near] = True
                 out.append((b, salt, False, sig, label))
         yield packed(out)
     if block:
@@ -242,32 +264,6 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _places(column: str):
-    """Three places of an id in the Bloom filter."""
-    return F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(BLOOM)).cast("int") for i in range(3)])
-
-
-def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without most of those whose id isn't in ``ids(rep)``, by a filter of ``BLOOM`` bits.
-
-    The filter is 8 MB whatever the number of ids; where they fill it, more rows pass, none is lost.
-    """
-    place = ids.select(F.explode(_places("rep")).alias("p"))
-    words = place.groupBy(F.shiftright("p", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1, p & 31)")).alias("bits")).toArrow()
-    bits = np.zeros(BLOOM // 32, np.int32)
-    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches):
-        for batch in batches:
-            p = batch.column(2).flatten().to_numpy().reshape(-1, 3)
-            there = (shared.value[p >> 5] >> (p & 31)) & 1
-            yield batch.select([0, 1]).filter(pa.array(there.all(1)))
-
-    rows = docs.where("doc_id is not null").select("doc_id", "text", _places("doc_id").alias("p"))
-    return rows.mapInArrow(run, "doc_id long, text binary")
-
-
 def _confirm(blocks: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Exact links between ``blocks(block, sig, label)`` and ``members(block, sig, label)``.
 
@@ -288,7 +284,8 @@ def _confirm(blocks: DataFrame, members: DataFrame, classes: DataFrame, docs: Da
     near = written(rows.mapInArrow(_screen, "block long, salt int, indexed boolean, sig long, label long"), "near")
     near = near.join(classes.select("sig", "rep"), "sig")
     ids = near.select("rep").distinct()
-    rows = near.withColumnRenamed("rep", "doc_id").join(_likely(docs, ids), "doc_id").drop("doc_id")
+    asked, _ = split_by_keys(docs, "doc_id", ids)
+    rows = near.withColumnRenamed("rep", "doc_id").join(asked, "doc_id").drop("doc_id")
     rows = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("indexed"))
     return rows.mapInArrow(_verify(n, percent), "a long, b long")
 
@@ -355,6 +352,21 @@ def near_duplicates(
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each group, with all its columns.
+
+    Rows that repeat an id and are kept are one document: one of them stays. Rows without an id stay.
+    Only rows of ids that are dropped or repeated are shuffled.
+    """
+    found = written(near_duplicates(documents, n, percent, id_col, text_col).select("doc_id", "kept"), "kept")
+    per = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    odd = per.where("not kept or n > 1").select("doc_id")
+    keyed = documents.withColumn("__id", F.col(id_col).cast("long"))
+    possible, clear = split_by_keys(keyed, "__id", odd)
+    stay = per.where("kept").select(F.col("doc_id").alias("__id"))
+    return clear.unionByName(possible.join(stay, "__id", "left_semi").dropDuplicates(["__id"])).select(documents.columns)
+
+
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Groups of whole documents by 2-word shingles; one row per document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=2)
