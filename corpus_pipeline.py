@@ -8,13 +8,12 @@ has ended.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, neardup, packing, quality, repeats
 from tidemill.llm.common import table, written
 
-#: Words and similarity of a near duplicate; bytes of a repeated passage; words of a benchmark window.
-SHINGLE, PERCENT, PASSAGE, WINDOW = 5, 80, 400, 10
+#: Words and similarity of a near duplicate; bytes of a repeated passage (some 40 words); words of a benchmark window.
+SHINGLE, PERCENT, PASSAGE, WINDOW = 5, 80, 240, 10
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +22,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id.
-
-    Rows that repeat that id and text are copies too: one stays.
-    """
-    kept = neardup.near_duplicates(docs, SHINGLE, PERCENT).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return neardup.keep_one(docs, SHINGLE, PERCENT)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of 400-byte passages cut out; a document of which nothing is left goes."""
+    """Later copies of passages of ``PASSAGE`` bytes and more cut out; a document of which nothing is left goes."""
     return repeats.cut_later_copies(docs, PASSAGE)
 
 
