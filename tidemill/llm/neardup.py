@@ -329,7 +329,9 @@ def near_duplicates(
     mixed = sizes.agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size"), F.count("*").alias("k")).where("k > 1")
     minor = at.join(mixed.select("v", F.col("m.label").alias("major"), "size"), "v").where("label <> major")
     minor = written(minor.select("v", "sig", "label", "size"), "minor")
-    home = minor.groupBy("sig", "label").agg(F.max(F.struct("size", "v")).alias("h")).select("sig", "label", F.col("h.v").alias("home"))
+    # a family's classes share many lists of about one size: all of them go by the one with the largest value
+    large = F.struct(F.floor(F.log2("size")).alias("size"), "v")
+    home = minor.groupBy("sig", "label").agg(F.max(large).alias("h")).select("sig", "label", F.col("h.v").alias("home"))
     chunks = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
     home = home.join(chunks, "home").select(
         "sig", "label", F.xxhash64("home", F.pmod(F.xxhash64("sig"), F.col("chunks"))).alias("block")
