@@ -150,6 +150,23 @@ def _describe(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
 
+def _masks() -> list[tuple[int, int]]:
+    """Each table's bits as masks of the two halves of a descriptor."""
+    out = []
+    for t in _TABLE_BITS:
+        bits = np.zeros(BITS, bool)
+        bits[t] = True
+        out.append(tuple(int(x) for x in np.packbits(bits).view(">i8").astype(np.int64)))
+    return out
+
+
+_MASKS = _masks()
+
+
+def _same_bits(half: str, mask: int):
+    return F.col(half).bitwiseXOR(F.col(f"q_{half}")).bitwiseAND(F.lit(mask).cast("long")) == 0
+
+
 def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image", every: int = 20, votes: int = VOTES) -> DataFrame:
     """Copies of the query images (ids divisible by ``every``) among all images.
 
@@ -163,15 +180,23 @@ def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image",
     listed = written(rows.select("media_id", "sum", F.coalesce(F.col("media_id") % every == 0, F.lit(False)).alias("is_query")), "media")
     classes = listed.groupBy("sum").agg(F.min("media_id").alias("class_id"), F.max("is_query").alias("asked"))
     classes = written(classes.where("class_id is not null"), "classes")
-    firsts = rows.join(classes.select("sum", F.col("class_id").alias("media_id")), ["sum", "media_id"])
-    found = written(firsts.select("media_id", "image").mapInArrow(_describe, _ROWS), "corners")
+    # only images of ids that aren't the first of their class, or come again, have to be shuffled
+    other = listed.join(classes.select("sum", "class_id"), "sum").where("media_id <> class_id").select("media_id")
+    again = listed.groupBy("media_id").count().where("count > 1").select("media_id")
+    possible, clear = split_by_keys(rows, "media_id", other.unionByName(again))
+    firsts = possible.join(classes.select("sum", F.col("class_id").alias("media_id")), ["sum", "media_id"]).dropDuplicates(["sum", "media_id"])
+    firsts = clear.where("media_id is not null").select("media_id", "image").unionByName(firsts.select("media_id", "image"))
+    found = written(firsts.mapInArrow(_describe, _ROWS), "corners")
 
     keyed = found.select("*", F.posexplode("keys").alias("table", "key")).drop("keys").withColumn("at", F.xxhash64("table", "key"))
     asked = keyed.join(classes.where("asked").select("class_id"), "class_id", "left_semi")
     a = asked.select("at", "table", "key", *[F.col(c).alias(f"q_{c}") for c in ("class_id", "corner", "y", "x", "scale", "angle", "high", "low")])
     there, _ = split_by_keys(keyed, "at", asked.select("at"))
     far = F.bit_count(F.col("high").bitwiseXOR(F.col("q_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("q_low")))
-    pairs = a.join(there, ["at", "table", "key"]).where((F.col("class_id") != F.col("q_class_id")) & (far <= DISTANCE))
+    # two corners that agree in several tables are one match: that of the first of these tables
+    alike = F.array(*[_same_bits("high", hi) & _same_bits("low", lo) for hi, lo in _MASKS])
+    once = F.array_position(alike, True) == F.col("table") + 1
+    pairs = a.join(there, ["at", "table", "key"]).where((F.col("class_id") != F.col("q_class_id")) & (far <= DISTANCE) & once)
 
     turn, zoom = F.col("angle") - F.col("q_angle"), F.col("q_scale") / F.col("scale")
     dy = F.col("y") - zoom * (F.col("q_y") * F.cos(turn) + F.col("q_x") * F.sin(turn))
@@ -182,7 +207,7 @@ def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image",
         "q_class_id", "class_id", "q_corner", F.round(F.pmod(turn, F.lit(2 * math.pi)) / (math.pi / 6)).cast("int").alias("turn"), F.round(2 * F.log2(zoom)).cast("int").alias("zoom"),
         F.explode(cells(dy)).alias("cy"), cells(dx).alias("cxs"),
     ).select("q_class_id", "class_id", "q_corner", F.col("turn") % 12, "zoom", "cy", F.explode("cxs").alias("cx")).toDF("q", "c", "corner", "turn", "zoom", "cy", "cx")
-    agreed = voted.distinct().groupBy("q", "c", "turn", "zoom", "cy", "cx").count().where(F.col("count") >= votes)
+    agreed = voted.groupBy("q", "c", "turn", "zoom", "cy", "cx").agg(F.collect_set("corner").alias("own")).where(F.size("own") >= votes)
     links = agreed.groupBy("q").agg(F.array_sort(F.collect_set("c")).alias("links"))
     none = F.array().cast("array<long>")
     named = classes.join(links.withColumnRenamed("q", "class_id"), "class_id", "left").select("sum", "class_id", F.coalesce("links", none).alias("links"))
