@@ -378,6 +378,22 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+HIDDEN_PAGES = [
+    ("<article><p>One, here.</p><svg viewBox='0 0 1 1' /><p>Two, here.</p><math/><p>Three.</p></article>", "One, here. Two, here. Three."),
+    ("<article><p>One, <object data=x>two.</p><p>Three.</p><object data=y>no</object><p>Four.</p></article>", "One, two. Three. Four."),
+    ("<article><p>One.</p><canvas id=c><p>Two.</p></article><footer>f</footer>", "One. Two."),
+    ("<article><p>One<svg><title>no</title><g><text>no</text></g></svg>, two.</p><svg><path d=x><p>Three.</p></svg></article>", "One, two. Three."),
+    ("<article><p>One, <object><p>no</p><div>no<svg/></object>two.</p><noscript><p>no</p></noscript><template>no</template>x</article>", "One, two. x"),
+    ("<article><p>One<svg><foreignObject><div>no</div></foreignObject></svg> two.</p><p>Three.<script>no", "One two. Three."),
+    ("<p>One, <canvas>no <object>no</canvas>two.</object><p>Three.", "One, two. Three."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HIDDEN_PAGES)
+def test_hidden_elements_end_where_they_end(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_of_odd_tables(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, None, PAGES[2][0], "x"), (None, "u", "<" * 2000 + "a" * 5000, "x")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or -1, r.text[:5], r.n_chars == len(r.text)) for r in html_text.extract(pages).collect())

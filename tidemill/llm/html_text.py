@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 #: Tags without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text.
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas xmp noembed noframes".split())
+#: Their content is read to their end tag, or else to the end of the page, and is no text.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: What lies between their tags is no text; where the end tag is missing, what follows is text like any other.
+HIDDEN = frozenset("noscript template svg math object canvas".split())
+#: Tags inside svg and math whose content is HTML again, so that a block there doesn't end the drawing.
+EMBEDS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 #: Their text is never the article's.
 APART = frozenset("nav header footer aside form button select option dialog menu label fieldset legend head".split())
 #: Tags that begin and end a block.
@@ -65,15 +69,16 @@ def runs(page: str) -> list[Run]:
     stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, aside, article
     parts: list[str] = []
     linked = 0
+    hidden_at: dict[int, tuple] = {}  # place in the stack of an open hidden element: what had been read before it
 
     def flush():
-        nonlocal linked
+        nonlocal linked, parts
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 path = "/".join(t for t, _, _ in stack if t in BLOCK or t == "")
                 out.append(Run(path, text, linked, stack[-1][1], stack[-1][2]))
-            parts.clear()
+            parts = []  # the old list may be wanted at a hidden element's end tag
         linked = 0
 
     def add(raw: str):
@@ -98,6 +103,22 @@ def runs(page: str) -> list[Run]:
                 parts.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = name.lower()
+        if tag in HIDDEN and m[1]:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == tag:  # forget what was read since its start tag
+                    n_out, parts, n_parts, linked = hidden_at[k]
+                    del out[n_out:], parts[n_parts:], stack[k:]
+                    break
+                if stack[k][0] in ("article", "main", "body"):
+                    break
+            continue
+        if tag in BLOCK and not m[1]:  # a block ends a drawing that was left open
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in EMBEDS or stack[k][0] in BLOCK:
+                    break
+                if stack[k][0] in ("svg", "math"):
+                    del stack[k:]
+                    break
         if tag in BLOCK or tag in APART:
             flush()
         if m[1]:
@@ -125,8 +146,12 @@ def runs(page: str) -> list[Run]:
                 if stack[k][0] in ends:
                     del stack[k:]
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k][0] in BLOCK or stack[k][0] in HIDDEN:
                     break
+        if tag in HIDDEN:
+            hidden_at[len(stack)] = len(out), parts, len(parts), linked
+            stack.append((tag, *stack[-1][1:]))
+            continue
         marks, hidden = "", False
         if m[3]:
             for a in _ATTR.finditer(m[3]):
@@ -186,8 +211,8 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page; null or empty html gives empty text.
 
-    Whole pages are read. Unclosed and stray tags are taken as browsers take them; rows that repeat
-    an id stay; other columns are ignored.
+    Whole pages are read. Unclosed and stray tags are taken as browsers take them, but that a missing
+    end tag of ``HIDDEN`` hides nothing; rows that repeat an id stay; other columns are ignored.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
