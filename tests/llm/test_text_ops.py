@@ -394,6 +394,21 @@ def test_hidden_elements_end_where_they_end(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_scores_select_where_marks_and_scores_disagree():
+    long = "A sentence of the article, with commas, and a stop. " * 5
+    for share in (1, 2, 4):  # one marked part of an article of which most lies in blocks without marks
+        marked, rest = f"<p>Teaser, {long * share}</p>", f"<p>Rest, {long}</p>" * 4
+        for page in (f"<div class=post>{marked}</div><div>{rest}</div>", f"<article>{marked}</article><section>{rest}</section>"):
+            assert html_text.main_text(page).count("Rest") == 4 and "Teaser" in html_text.main_text(page)
+    paragraphs = f"<p>{long}</p>" * 4
+    low = "<table class=content>" + "<tr><td>ok</td></tr>" * 8 + "</table>"
+    assert "ok" not in html_text.main_text(f"<div>{paragraphs * 4}</div>{low}")
+    for part in ("<ul><li>Salt</li><li>Two eggs</li></ul>", "<pre>x = 1</pre>", "<dl><dt>Term</dt><dd>Meaning</dd></dl>", "<figure><figcaption>Photo</figcaption></figure>"):
+        page = f"<article><h1>T</h1><div>By Ann</div>{paragraphs}{part}{paragraphs}</article>"
+        words = re.sub("<[^>]*>", " ", page).split()
+        assert html_text.main_text(page).split() == words, part
+
+
 def test_pages_of_odd_tables(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, None, PAGES[2][0], "x"), (None, "u", "<" * 2000 + "a" * 5000, "x")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or -1, r.text[:5], r.n_chars == len(r.text)) for r in html_text.extract(pages).collect())

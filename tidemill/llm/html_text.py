@@ -4,6 +4,7 @@ A page is read once into runs of text, each with the path of open tags from the
 the length of its text, its punctuation, the part of it inside links and its number of runs are
 summed. Two ratios (text and punctuation per run) are smoothed along the page's blocks, fused,
 and a threshold from the page's own spread selects paths; a block is content if its path is.
+Marks of an article (its tags, words of a class) raise a path's score and decide nothing alone.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ ASIDE_WORDS = re.compile(
     re.I,
 )
 ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.I)
+#: How much a path's score rises where all of its text is marked as an article's.
+MARKED = 2.0
 #: Open tags that a new tag of the same group ends.
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -173,34 +176,32 @@ def runs(page: str) -> list[Run]:
 def select(blocks: list[Run]) -> list[Run]:
     """The content blocks of a page."""
     open_blocks = [b for b in blocks if not b.aside]
-    if any(b.article for b in open_blocks):
-        inside = [b for b in open_blocks if b.article]
-        if sum(len(b.text) for b in inside) >= 0.25 * sum(len(b.text) for b in open_blocks):
-            open_blocks = inside
     if not open_blocks:
         return []
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0.0])
     for b in open_blocks:
         s = sums[b.path]
         s[0] += len(b.text)
         s[1] += len(_PUNCT.findall(b.text))
         s[2] += 1
         s[3] += b.linked
+        s[4] += len(b.text) * b.article
     length = np.array([sums[b.path][0] / sums[b.path][2] for b in open_blocks])
     marks = np.array([sums[b.path][1] / sums[b.path][2] for b in open_blocks])
     links = np.array([sums[b.path][3] / max(1.0, sums[b.path][0]) for b in open_blocks])
+    inside = np.array([sums[b.path][4] / max(1.0, sums[b.path][0]) for b in open_blocks])
     kernel = np.array([0.25, 0.5, 0.25])
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid")
     fused = np.log1p(smooth(length)) * (1 + np.log1p(smooth(marks))) * (1 - links)
     # a path is content unless it lies clearly below the page: half a spread under the mean, and mostly links or bare of marks
     limit = min(fused.mean() - 0.5 * fused.std(), 0.5 * fused.max())
     by_path: dict[str, list[float]] = defaultdict(list)
-    for b, f in zip(open_blocks, fused, strict=True):
+    for b, f in zip(open_blocks, fused * (1 + MARKED * inside), strict=True):
         by_path[b.path].append(f)
     good = {p for p, f in by_path.items() if np.mean(f) >= limit}
     return [
         b for b in open_blocks
-        if b.linked < 0.6 * len(b.text) and (b.article or b.path in good or re.search(r"/h[1-6]$", b.path))
+        if b.linked < 0.6 * len(b.text) and (b.path in good or re.search(r"/h[1-6]$", b.path))
     ]
 
 
