@@ -291,6 +291,24 @@ def test_cutting_keeps_rows_and_columns(spark):
             assert i not in rows
 
 
+def test_rows_without_id_are_deduplicated(spark):
+    rng = random.Random(5)
+    named, bare, near = (_prose(rng, 60) for _ in range(3))
+    top = 2**63 - 1
+    docs = _docs(spark, [bare, named, named, bare, bare, near, near + " end", None, "", "", named, "x y z"], [None, None, top, None, None, None, None, None, None, None, None, 4])
+    got = neardup.keep_one(docs, 2)
+    rows = sorted((r.doc_id or -1, r.text or "") for r in got.collect())
+    assert got.schema == docs.schema
+    assert [r for r in rows if r[0] > 0] == [(4, "x y z"), (top, named)]
+    rest = [t for k, t in rows if k < 0]
+    assert rest.count("") == 3 and rest.count(bare) == 1 and len(rest) == 5 and {near, near + " end"} & set(rest)
+    cut = repeats.cut_later_copies(docs.where("text is not null"), 80)
+    rows = sorted((r.doc_id or -1, r.text) for r in cut.collect())
+    assert cut.schema == docs.schema and [r for r in rows if r[0] > 0] == [(4, "x y z"), (top, named)]
+    rest = [t for k, t in rows if k < 0]
+    assert rest.count(bare) == 1 and sum(near in t for t in rest) == 1 and len([t for t in rest if len(t) > 80]) == 2
+
+
 def test_repeats_of_odd_tables(spark):
     long = "".join(random.Random(1).choice("abcdef ") for _ in range(300))
     docs = _docs(spark, [long, long, long, None], [None, 5, 5, None])

@@ -96,6 +96,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with ``__id``: the row's id in the order of ids, or for a row without one a number of its own after all ids.
+
+    Rows without an id are written once, so that a number stays with its row. Where the numbers don't
+    fit above the ids, ids move down as far as it takes.
+    """
+    own = F.col(id_col).cast("long")
+    bare, low, high = df.agg(F.count_if(own.isNull()), F.min(own), F.max(own)).first()
+    if not bare:
+        return df.withColumn("__id", own)
+    rest = written(df.where(own.isNull()).withColumn("__row", F.monotonically_increasing_id()), "unnamed")
+    low, high = (0, -1) if high is None else (low, high)
+    down = max(0, high + 1 + rest.agg(F.max("__row")).first()[0] - (2**63 - 1))
+    if low - down < -(2**63):
+        raise ValueError("the ids leave no numbers for rows without an id")
+    rest = rest.withColumn("__id", F.col("__row") + F.lit(high + 1 - down).cast("long")).drop("__row")
+    return df.where(own.isNotNull()).withColumn("__id", own - F.lit(down).cast("long")).unionByName(rest)
+
+
 def as_bytes(column: str):
     """A text column as UTF-8 bytes, null as empty; Arrow then hands Python ``bytes``."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER, as_bytes, split_by_keys, written
+from tidemill.llm.common import LOWER, as_bytes, numbered, split_by_keys, written
 from tidemill.llm.graph import components
 
 K = 64
@@ -357,13 +357,13 @@ def near_duplicates(
 def keep_one(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each group, with all its columns.
 
-    Rows that repeat an id and are kept are one document: one of them stays. Rows without an id stay.
-    Only rows of ids that are dropped or repeated are shuffled.
+    Rows that repeat an id and are kept are one document: one of them stays. Rows without an id are
+    documents of their own that come after all ids. Only rows of ids that are dropped or repeated are shuffled.
     """
-    found = written(near_duplicates(documents, n, percent, id_col, text_col).select("doc_id", "kept"), "kept")
-    per = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keyed = numbered(documents, id_col)
+    found = written(near_duplicates(keyed, n, percent, "__id", text_col).select("doc_id", "kept"), "kept")
+    per = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     odd = per.where("not kept or n > 1").select("doc_id")
-    keyed = documents.withColumn("__id", F.col(id_col).cast("long"))
     possible, clear = split_by_keys(keyed, "__id", odd)
     stay = per.where("kept").select(F.col("doc_id").alias("__id"))
     return clear.unionByName(possible.join(stay, "__id", "left_semi").dropDuplicates(["__id"])).select(documents.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import as_bytes, split_by_keys, written
+from tidemill.llm.common import as_bytes, numbered, split_by_keys, written
 
 LENGTH = 400
 GRAM = 32
@@ -424,10 +424,12 @@ def cut_later_copies(documents: DataFrame, length: int = LENGTH, id_col: str = "
 
     Columns and types stay; ``n_chars`` is counted anew if there. Rows of which nothing but white
     space is left go; rows that nothing is cut from, null and empty texts among them, stay as they are.
+    Rows without an id are texts of their own that come after all ids.
     """
     names = documents.columns
-    doc, txt, keys = F.col(id_col).cast("long"), as_bytes(text_col), ["__key", "__spans"]
-    runs = repeated_runs(_keyed(documents, id_col, text_col), length, True, group)
+    doc, txt, keys = F.col("__id"), as_bytes(text_col), ["__key", "__spans"]
+    documents, kinds = numbered(documents, id_col), documents.schema
+    runs = repeated_runs(_keyed(documents, "__id", text_col), length, True, group)
     spans = runs.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
     spans = written(spans, "spans")
     possible, clear = split_by_keys(documents.withColumn("__key", F.xxhash64(doc, txt)), "__key", spans.select("__key"))
@@ -440,7 +442,7 @@ def cut_later_copies(documents: DataFrame, length: int = LENGTH, id_col: str = "
             cols = [pa.array(texts, pa.string()) if c == text_col else pa.array([len(t) for t in texts], batch.column(c).type) if c == "n_chars" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([bool(t.strip()) for t in texts]))
 
-    cut = joined.where("__spans is not null").select(*names, "__spans").mapInArrow(run, documents.schema)
+    cut = joined.where("__spans is not null").select(*names, "__spans").mapInArrow(run, kinds)
     return whole.unionByName(cut)
 
 
