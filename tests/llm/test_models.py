@@ -99,6 +99,53 @@ def test_media_finds_crops_and_edits_only(spark):
     assert media.copies(images.where("media_id > 5000")).count() == 0
 
 
+def _warped(image, degrees, zoom, side):
+    """The middle of an image, turned and zoomed, as a square of ``side`` pixels."""
+    z = np.exp(1j * np.deg2rad(degrees)) / zoom
+    y, x = np.mgrid[:side, :side] - (side - 1) / 2
+    at = (x + 1j * y) * z + (image.shape[1] - 1) / 2 + 1j * (image.shape[0] - 1) / 2
+    i, j = np.floor(at.imag).astype(int), np.floor(at.real).astype(int)
+    fy, fx = at.imag - i, at.real - j
+    return (image[i, j] * (1 - fx) + image[i, j + 1] * fx) * (1 - fy) + (image[i + 1, j] * (1 - fx) + image[i + 1, j + 1] * fx) * fy
+
+
+def planted_images(n, side=220):
+    """Images ``100 * k`` and edits of each under the ids after it: turned, scaled, noisy, and all at once."""
+    rng = np.random.default_rng(4)
+    edits = {1: (1, 1.0, 0), 2: (10, 1.0, 0), 3: (37, 1.0, 0), 4: (90, 1.0, 0), 5: (0, 0.6, 0), 6: (0, 0.8, 0), 7: (0, 1.3, 0), 8: (0, 1.0, 8), 9: (15, 0.7, 4)}
+    out = {}
+    for k in range(n):
+        flat = rng.normal(0, 1, (side, side))
+        for _ in range(3):
+            flat = media._blur(flat)
+        image = 128 + 45 * flat / flat.std()
+        out[100 * k] = image
+        for e, (degrees, zoom, noise) in edits.items():
+            part = _warped(image, degrees, zoom, int(side * 0.68 * min(1, zoom)))
+            out[100 * k + e] = part + rng.normal(0, 1, part.shape) * noise
+    return {k: media.encode(np.clip(np.rint(v), 0, 255).astype(np.uint8)) for k, v in out.items()}
+
+
+def test_media_finds_turned_scaled_and_noisy_copies(spark):
+    images = planted_images(3)
+    rows = media.copies(spark.createDataFrame([*images.items()], "media_id long, image binary"), every=100).collect()
+    found = {(r.media_id, c) for r in rows if r.is_query for c in r.links}
+    true = {(k // 100 * 100, k) for k in images if k % 100}
+    missed = sorted(true - found)
+    assert not found - true, sorted(found - true)
+    assert len(missed) <= 0.1 * len(true), missed
+
+
+def test_media_matches_against_brute_force():
+    words = []
+    for data in [*planted_images(2).values()]:
+        words.append(np.packbits(media.describe(media.decode(data))[1], axis=1).view(">u8").astype(np.uint64).reshape(-1, 2))
+    asked, every = words[0], np.concatenate(words)
+    near = np.bitwise_count(every[:, None, 0] ^ asked[None, :, 0]).astype(int) + np.bitwise_count(every[:, None, 1] ^ asked[None, :, 1]) <= media.DISTANCE
+    a, b = media.Matcher(asked).search(every)
+    assert near.sum() == len(a) and near[a, b].all() and near.sum() > len(asked)
+
+
 @needs_data
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline

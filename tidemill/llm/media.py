@@ -2,15 +2,17 @@
 
 Corners are found at several scales; around each, a patch is turned by its own orientation and
 pairs of its points are compared, which gives 128 bits that survive cropping, turning, and changes
-of brightness or contrast. Sampled bits key several tables; a join on a table and key proposes
-matching corners, the Hamming distance confirms them, and each match votes for the shift, turn and
-scale that take one image to the other. Only images whose matches agree are copies.
+of brightness or contrast. The bits are dealt into parts; two descriptors within ``DISTANCE`` differ
+in at most ``PROBE`` bits of one of them, so keys of each part and all their neighbours propose every
+such pair, and the Hamming distance confirms it. Pairs of matches give the shift, turn and zoom that
+take one image to the other. Only images in which enough matches agree are copies.
 
 Images are 8-bit grey PGM (``P5``) bytes. Images with equal bytes are one class and are read once.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -23,16 +25,22 @@ from tidemill.llm.common import split_by_keys, written
 SCALES = (1.0, 0.75, 0.5)
 RADIUS = 9
 BITS = 128
-TABLES, KEY_BITS = 8, 32
 #: Bits in which two descriptors of one corner may differ, and agreeing corners that make a copy.
 DISTANCE, VOTES = 20, 6
+#: Parts of a descriptor, and bits in which one of them may differ: PARTS * (PROBE + 1) > DISTANCE, so no pair is missed.
+PARTS, PROBE = 7, 2
+#: Descriptors of query images that are searched at once, and pairs that are compared at once.
+ASKED, PAIRS = 1 << 18, 1 << 20
+#: Pixels by which a match may lie off, at least and as a part of the matched region; how far its own angle (radians) and zoom (log2) may be off.
+OFF, OFF_PART, OFF_ANGLE, OFF_ZOOM = 2.5, 0.02, math.pi / 4, 0.75
+#: How often matches that agree by chance may pass for a copy, among pairs of images.
+CHANCE = 1e-3
 
 
 def _pattern(seed: int = 17):
     rng = np.random.default_rng(seed)
     points = np.clip(rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS / math.sqrt(2), RADIUS / math.sqrt(2))
-    tables = np.stack([np.sort(rng.permutation(BITS)[:KEY_BITS]) for _ in range(TABLES)])
-    return points, tables
+    return points, np.array_split(rng.permutation(BITS), PARTS)
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -106,7 +114,7 @@ def corners(a: np.ndarray) -> np.ndarray:
     return np.argwhere(ok)
 
 
-_POINTS, _TABLE_BITS = _pattern()
+_POINTS, _PART_BITS = _pattern()
 _DISC = np.argwhere(np.hypot(*np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]) <= RADIUS) - RADIUS
 
 
@@ -130,41 +138,195 @@ def describe(image: np.ndarray):
     return np.concatenate(frames), np.concatenate(bits)
 
 
-_ROWS = "class_id long, corner int, y float, x float, scale float, angle float, high long, low long, keys array<int>"
+_ROWS = "class_id long, corner int, y float, x float, scale float, angle float, high long, low long"
 
 
 def _describe(batches):
     for batch in batches:
-        out = [[] for _ in range(9)]
+        out = [[] for _ in range(8)]
         for owner, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             image = decode(data.as_py())
             if image is None:
                 continue
             frame, bits = describe(image)
             words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(">i8").astype(np.int64).reshape(-1, 2)
-            keys = np.stack([np.ascontiguousarray(np.packbits(bits[:, t], axis=1)).view(">i4").astype(np.int32)[:, 0] for t in _TABLE_BITS], axis=1) if len(bits) else []
-            for col, x in zip(out, ([owner] * len(frame), range(len(frame)), *frame.T, *words.T, keys), strict=True):
+            for col, x in zip(out, ([owner] * len(frame), range(len(frame)), *frame.T, *words.T), strict=True):
                 col.extend(x)
-        kinds = [pa.int64(), pa.int32(), *[pa.float32()] * 4, pa.int64(), pa.int64(), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int32(), *[pa.float32()] * 4, pa.int64(), pa.int64()]
         names = [x.split()[0] for x in _ROWS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
 
-def _masks() -> list[tuple[int, int]]:
-    """Each table's bits as masks of the two halves of a descriptor."""
-    out = []
-    for t in _TABLE_BITS:
-        bits = np.zeros(BITS, bool)
-        bits[t] = True
-        out.append(tuple(int(x) for x in np.packbits(bits).view(">i8").astype(np.int64)))
-    return out
+def _part_keys(bits: np.ndarray) -> list[np.ndarray]:
+    """Each part of the descriptors as a number."""
+    return [bits[:, part] @ (1 << np.arange(len(part))) for part in _PART_BITS]
 
 
-_MASKS = _masks()
+def _neighbours(n: int) -> np.ndarray:
+    """Every number of ``n`` bits of which at most ``PROBE`` are set."""
+    return np.array([sum(1 << b for b in c) for k in range(PROBE + 1) for c in itertools.combinations(range(n), k)])
 
 
-def _same_bits(half: str, mask: int):
-    return F.col(half).bitwiseXOR(F.col(f"q_{half}")).bitwiseAND(F.lit(mask).cast("long")) == 0
+_NEAR = [_neighbours(len(part)) for part in _PART_BITS]
+
+
+class Matcher:
+    """Finds every pair of descriptors within ``DISTANCE`` of a fixed set, as two rows of 64-bit words."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.parts = []
+        for part, key in zip(_PART_BITS, _part_keys(_bits(words)), strict=True):
+            self.parts.append((np.argsort(key, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << len(part)))])))
+
+    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index in ``words``, index in the set) of every pair, once."""
+        found = [np.empty(0, np.int64)]
+        for key, near, (order, begin) in zip(_part_keys(_bits(words)), _NEAR, self.parts, strict=True):
+            probe = (key[:, None] ^ near[None, :]).ravel()
+            lo, size = begin[probe], begin[probe + 1] - begin[probe]
+            some = np.flatnonzero(size)
+            ends = np.cumsum(size[some])
+            at = 0
+            while at < len(some):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+                n, here = size[some[at:to]], some[at:to]
+                b = order[np.repeat(lo[here] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                a = np.repeat(here // len(near), n)
+                d = np.bitwise_count(words[a, 0] ^ self.words[b, 0]) + np.bitwise_count(words[a, 1] ^ self.words[b, 1])
+                ok = d <= DISTANCE
+                found.append(a[ok] * len(self.words) + b[ok])
+                at = to
+        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.words)))
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words, np.uint64).astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.int64)
+
+
+def needed(m: int, p: float, votes: int) -> int:
+    """Agreeing corners that ``m`` matches, each fitting by chance with probability ``p``, reach once in ``1 / CHANCE`` pairs of images."""
+    term, tail, k = math.exp(-m * p), 1.0, 0
+    while tail * m * m > CHANCE and k < m:
+        tail -= term
+        k += 1
+        term *= m * p / k
+    return max(votes, k + 2)
+
+
+def agree(m: np.ndarray, votes: int) -> bool:
+    """Whether ``votes`` corners of either image fit one shift, turn and zoom, and more than chance would bring.
+
+    Rows of ``m``: corner, y, x, scale, angle of the query image, then of the other. Each match in turn is
+    taken as the fixed point; the others then tell turn and zoom by where they lie, not by their angles.
+    """
+    q, c = m[:, 2] + 1j * m[:, 1], m[:, 7] + 1j * m[:, 6]
+    own_turn, own_zoom = m[:, 9] - m[:, 4], np.log2(m[:, 3] / m[:, 8])
+    high, wide = np.ptp(c.imag), np.ptp(c.real)
+    tolerance = max(OFF, OFF_PART * max(high, wide))
+    chance = min(1.0, math.pi * tolerance**2 / max(high * wide, 1.0)) * OFF_ANGLE / math.pi / 2
+    least = needed(len(m), chance, votes)
+    few = max(3, 3 * (least - 1) // 4)
+    apart = lambda a: np.abs((a + math.pi) % (2 * math.pi) - math.pi)
+    _, q_place = np.unique(np.rint(m[:, 1:3] / OFF), axis=0, return_inverse=True)
+    _, c_place = np.unique(np.rint(m[:, 6:8] / OFF), axis=0, return_inverse=True)
+
+    def enough(ok) -> bool:
+        """At least ``votes`` corners, in as many places as chance would not bring."""
+        if np.count_nonzero(ok) < least or min(len(np.unique(m[ok, 0])), len(np.unique(m[ok, 5]))) < votes:
+            return False
+        return least == votes or min(len(np.unique(q_place[ok])), len(np.unique(c_place[ok]))) >= least
+
+    if not enough(np.ones(len(m), bool)):
+        return False
+    _, anchors = np.unique(np.stack([q_place.ravel(), c_place.ravel(), np.rint(own_turn / OFF_ANGLE).astype(int)]), axis=1, return_index=True)
+    for i in anchors:
+        far = np.abs(q - q[i]) >= 4 * OFF
+        z = np.where(far, (c - c[i]) / np.where(far, q - q[i], 1), 1)
+        turn, zoom = np.angle(z), np.log2(np.maximum(np.abs(z), 1e-9))
+        at = np.flatnonzero(far & (apart(own_turn - turn) <= OFF_ANGLE) & (np.abs(own_zoom - zoom) <= OFF_ZOOM))
+        if len(at) < few:
+            continue
+        # cells of 15 degrees and a quarter octave, overlapping by half either way
+        for dt, dz in ((0, 0), (0.5, 0), (0, 0.5), (0.5, 0.5)):
+            cell = np.floor(np.mod(turn[at] / (math.pi / 12) + dt, 24)).astype(int) * 64 + np.floor(zoom[at] * 4 + dz).astype(int) + 32
+            count = np.bincount(cell, minlength=1)
+            for k in np.flatnonzero(count >= few):
+                near = at[cell == k]
+                best = np.median(z[near].real) + 1j * np.median(z[near].imag)
+                t = c[i] - best * q[i]
+                for _ in range(3):  # the best fit of those that agree may bring others in
+                    ok = np.abs(c - best * q - t) <= tolerance
+                    if np.count_nonzero(ok) < few:
+                        break
+                    ok &= (apart(own_turn - np.angle(best)) <= OFF_ANGLE) & (np.abs(own_zoom - np.log2(max(abs(best), 1e-9))) <= OFF_ZOOM)
+                    if np.count_nonzero(ok) < few:
+                        break
+                    if enough(ok):
+                        return True
+                    dq, dc = q[ok] - q[ok].mean(), c[ok] - c[ok].mean()
+                    spread = (np.abs(dq) ** 2).sum()
+                    if spread < OFF * OFF:
+                        break
+                    best = (dq.conj() * dc).sum() / spread
+                    t = c[ok].mean() - best * q[ok].mean()
+    return False
+
+
+_MATCH = "q long, c long, m array<float>"
+
+
+def _matches(asked):
+    """Matches of corners with the asked ones of other classes."""
+
+    def run(batches):
+        owner, frame, words = asked.value
+        matcher = Matcher(words)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                mine = np.stack([part.column(n).to_numpy().view(np.uint64) for n in ("high", "low")], axis=1)
+                a, b = matcher.search(mine)
+                ids = part.column("class_id").to_numpy()
+                other = ids[a] != owner[b]
+                a, b = a[other], b[other]
+                own = np.stack([part.column(n).to_numpy().astype(np.float32) for n in ("corner", "y", "x", "scale", "angle")], axis=1)
+                rows = np.concatenate([frame[b], own[a]], axis=1)
+                m = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), 10).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([pa.array(owner[b]), pa.array(ids[a]), m], names=["q", "c", "m"])
+
+    return run
+
+
+def _agreeing(votes: int):
+    def run(batches):
+        for batch in batches:
+            ok = [agree(np.array(m.as_py(), np.float64).reshape(-1, 10), votes) for m in batch.column("m")]
+            yield batch.select(["q", "c"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _linked(found: DataFrame, classes: DataFrame, votes: int) -> DataFrame:
+    """``q, c``: classes with a query and the classes of which they hold a copy.
+
+    The asked corners are taken some at a time, and all corners are read past each lot.
+    """
+    spark = found.sparkSession
+    asked = found.join(classes.where("asked").select("class_id"), "class_id", "left_semi")
+    asked = written(asked.withColumn("lot", F.xxhash64("class_id", "corner")), "asked")
+    lots = max(1, -(-asked.count() // ASKED))
+    matches = None
+    for lot in range(lots):
+        t = asked.where(F.pmod("lot", F.lit(lots)) == lot).toArrow()
+        frame = np.stack([t.column(n).to_numpy().astype(np.float32) for n in ("corner", "y", "x", "scale", "angle")], axis=1)
+        words = np.stack([t.column(n).to_numpy().view(np.uint64) for n in ("high", "low")], axis=1)
+        shared = spark.sparkContext.broadcast((t.column("class_id").to_numpy(), frame, words))
+        some = written(found.mapInArrow(_matches(shared), _MATCH), "matches")
+        shared.destroy()
+        matches = some if matches is None else matches.unionByName(some)
+    per = matches.groupBy("q", "c").agg(F.flatten(F.collect_list("m")).alias("m")).where(F.size("m") >= 10 * votes)
+    return per.mapInArrow(_agreeing(votes), "q long, c long")
 
 
 def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image", every: int = 20, votes: int = VOTES) -> DataFrame:
@@ -188,26 +350,7 @@ def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image",
     firsts = clear.where("media_id is not null").select("media_id", "image").unionByName(firsts.select("media_id", "image"))
     found = written(firsts.mapInArrow(_describe, _ROWS), "corners")
 
-    keyed = found.select("*", F.posexplode("keys").alias("table", "key")).drop("keys").withColumn("at", F.xxhash64("table", "key"))
-    asked = keyed.join(classes.where("asked").select("class_id"), "class_id", "left_semi")
-    a = asked.select("at", "table", "key", *[F.col(c).alias(f"q_{c}") for c in ("class_id", "corner", "y", "x", "scale", "angle", "high", "low")])
-    there, _ = split_by_keys(keyed, "at", asked.select("at"))
-    far = F.bit_count(F.col("high").bitwiseXOR(F.col("q_high"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("q_low")))
-    # two corners that agree in several tables are one match: that of the first of these tables
-    alike = F.array(*[_same_bits("high", hi) & _same_bits("low", lo) for hi, lo in _MASKS])
-    once = F.array_position(alike, True) == F.col("table") + 1
-    pairs = a.join(there, ["at", "table", "key"]).where((F.col("class_id") != F.col("q_class_id")) & (far <= DISTANCE) & once)
-
-    turn, zoom = F.col("angle") - F.col("q_angle"), F.col("q_scale") / F.col("scale")
-    dy = F.col("y") - zoom * (F.col("q_y") * F.cos(turn) + F.col("q_x") * F.sin(turn))
-    dx = F.col("x") - zoom * (F.col("q_x") * F.cos(turn) - F.col("q_y") * F.sin(turn))
-    # a shift votes for both halves of an overlapping grid in either direction, so a border splits no consensus
-    cells = lambda v: F.array(F.floor(v / 6) * 2, F.floor(v / 6 + 0.5) * 2 + 1)
-    voted = pairs.select(
-        "q_class_id", "class_id", "q_corner", F.round(F.pmod(turn, F.lit(2 * math.pi)) / (math.pi / 6)).cast("int").alias("turn"), F.round(2 * F.log2(zoom)).cast("int").alias("zoom"),
-        F.explode(cells(dy)).alias("cy"), cells(dx).alias("cxs"),
-    ).select("q_class_id", "class_id", "q_corner", F.col("turn") % 12, "zoom", "cy", F.explode("cxs").alias("cx")).toDF("q", "c", "corner", "turn", "zoom", "cy", "cx")
-    agreed = voted.groupBy("q", "c", "turn", "zoom", "cy", "cx").agg(F.collect_set("corner").alias("own")).where(F.size("own") >= votes)
+    agreed = _linked(found, classes, votes)
     links = agreed.groupBy("q").agg(F.array_sort(F.collect_set("c")).alias("links"))
     none = F.array().cast("array<long>")
     named = classes.join(links.withColumnRenamed("q", "class_id"), "class_id", "left").select("sum", "class_id", F.coalesce("links", none).alias("links"))
