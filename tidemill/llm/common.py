@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -24,10 +25,13 @@ WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests in one process), a folder of this machine is set.
+    Where a session in one process (``local``) names none, a folder of this machine is set; on a cluster
+    that is an error, since executors would not see it.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         place = "file://" + os.path.join(tempfile.gettempdir(), "tidemill-shared")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -40,19 +44,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    The files outlive any executor; a lost one costs its running tasks only.
+    The files outlive any executor; a lost one costs its running tasks only. They stay until ``discard``
+    or ``sweep``.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of plans that have ended."""
+    for table in tables:
+        _delete(table.sparkSession, table._written_at)
+    gc.collect()  # the driver's handles on finished plans
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete everything that operators wrote to the shared folder, once no result of theirs is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemill")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/tidemill")
 
 
 #: Bits of the filter that tells which rows a set of keys may concern.

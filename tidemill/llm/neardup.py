@@ -35,7 +35,7 @@ OVERLAP = 32
 #: Classes indexed together, and classes that stream past one copy of an index.
 BLOCK, STREAM = 2048, 8192
 #: Words whose hash a Python worker remembers.
-MEMO = 500_000
+MEMO = 100_000
 
 _HASHES: dict[bytes, int] = {}
 _U = np.uint64
@@ -84,6 +84,7 @@ def _sketches(n: int):
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "sig", "sketch"],
             )
+        _HASHES.clear()  # the worker may serve other operators next
 
     return run
 
@@ -260,6 +261,7 @@ def _verify(n: int, percent: int):
                         a.append(x)
                         b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        _HASHES.clear()
 
     return run
 

@@ -24,7 +24,7 @@ CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Distinct chunks a Python worker remembers the ids of.
-MEMO = 400_000
+MEMO = 150_000
 #: Rank counters per length; ranks inside one are made by one task, so no length is one task's work.
 SALTS = 256
 #: A space between two visible characters is always where a token of this vocabulary begins.
@@ -103,6 +103,7 @@ def _pieces(capacity: int, vocabulary: str | None):
                 + [pa.array(x, pa.int64()) for x in (starts, lengths, sums)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        encoder.memo.clear()  # the worker may serve other operators next
 
     return run
 

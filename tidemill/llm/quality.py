@@ -28,7 +28,7 @@ THRESHOLD = 0.3
 FEATURES = 2 * DIM + 3
 #: Words handled at once.
 SLICE = 200_000
-MEMO = 500_000
+MEMO = 100_000
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _MEMO: dict[str, int] = {}
@@ -84,6 +84,7 @@ def _gather(batches):
                 for a, b in ((left, right), (right, left)):
                     for j in range(NONZERO):
                         sums += np.bincount(a.astype(np.int64) * DIM + places[b, j], signs[b, j], BUCKETS * DIM)
+    _MEMO.clear()  # the worker may serve other operators next
     seen = np.flatnonzero(count)
     rows = np.rint(sums).astype(np.int64).reshape(BUCKETS, DIM)[seen]
     yield pa.RecordBatch.from_arrays(
@@ -226,6 +227,7 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                 [batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
             )
+        _MEMO.clear()
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -242,6 +244,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             p = network.predict(pooled([x or "" for x in batch.column(at).to_pylist()], vectors.value))
             yield batch.filter(pa.array(p >= THRESHOLD))
+        _MEMO.clear()
 
     return documents.mapInArrow(run, documents.schema)
 
