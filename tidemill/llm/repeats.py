@@ -13,8 +13,10 @@
    that share so much are what it copies.
 4. Cutting. Positions become byte runs per text.
 
-An anchor with more different contexts than ``GROUP`` is dealt out by the hashes of its passages
-instead, which are summed where they arise, so no task holds an unbounded group.
+An anchor whose different contexts hold more than ``GROUP`` bytes is not sorted in one task: its
+contexts are taken as texts of their own and go through the same steps with longer grams, which deal
+them out to anchors that fewer share. With grams as long as a passage, an anchor has one context, all
+of whose places are copies outright; so no task ever holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -27,16 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import as_bytes, numbered, split_by_keys, written
+from tidemill.llm.common import as_bytes, discard, numbered, split_by_keys, written
 
 LENGTH = 400
 GRAM = 32
-#: Bytes of different contexts of one anchor that one task may hold; a context has some 600.
-GROUP = 12_000_000
+#: Bytes of different contexts of one anchor that one task sorts, at some 100 bytes of memory each; a context has some 600.
+GROUP = 1 << 20
 #: Bytes of contexts sorted at once; so much stays in a core's cache.
 CHUNK = 1 << 18
 #: Passages of one text that are looked at together; longer texts are taken piece by piece.
 SEGMENT = 4 << 20
+#: Rows that a task hands on at once, or a few more.
+ROWS = 100_000
 
 _U = np.uint64
 _MULT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -52,33 +56,38 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def gram_hashes(data: bytes) -> np.ndarray:
-    n = len(data) - GRAM + 1
+def gram_hashes(data: bytes, gram: int = GRAM) -> np.ndarray:
+    n = len(data) - gram + 1
     word = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     h = word[:n] * _MULT[0]
-    for i in range(1, GRAM // 8):
-        h = (h ^ (h >> _U(29))) + word[8 * i : 8 * i + n] * _MULT[i]
+    for i, at in enumerate([*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])], 1):
+        h = (h ^ (h >> _U(29))) * _MULT[1] if i > 3 else h ^ (h >> _U(29))
+        h = h + word[at : at + n] * _MULT[i % 4]
     h ^= h >> _U(32)
     h *= _MULT[1]
     h ^= h >> _U(29)
     return h
 
 
-def stretches(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``first, last, anchor, multi``: runs of passages (by their first byte) with one anchor.
 
     Every passage of the text is in one run. ``multi``: the anchor is at several places of the run, so
-    that the run may repeat itself. A run ends where a piece of ``SEGMENT`` passages does.
+    that the run may repeat itself. A run ends where a piece of ``SEGMENT`` passages does. With grams as
+    long as a passage every run is one passage.
     """
     if len(data) > SEGMENT + length:
-        parts = [(i, stretches(data[i : i + SEGMENT + length - 1], length)) for i in range(0, len(data) - length + 1, SEGMENT)]
+        parts = [(i, stretches(data[i : i + SEGMENT + length - 1], length, gram)) for i in range(0, len(data) - length + 1, SEGMENT)]
         first, last = (np.concatenate([i + p[k] for i, p in parts]) for k in (0, 1))
         return first, last, *(np.concatenate([p[k] for _, p in parts]) for k in (2, 3))
-    width = length - GRAM + 1
+    width = length - gram + 1
     if len(data) < length:
         none = np.empty(0, np.int64)
         return none, none, np.empty(0, np.uint64), none.astype(bool)
-    h = gram_hashes(data)
+    h = gram_hashes(data, gram)
+    if width == 1:
+        every = np.arange(len(h))
+        return every, every, h, np.zeros(len(h), bool)
     least = _slide(h, width, np.minimum)
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     last = np.r_[first[1:] - 1, len(least) - 1]
@@ -97,46 +106,62 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _stretch_rows(length: int):
+_STRETCHES = "key long, at long, doc_id long, a long, b long, anchor long, multi boolean, context long"
+
+
+def _stretch_rows(length: int, gram: int):
+    """Stretches of ``pieces(key, at, doc_id, text)``, by their places in the whole text."""
+
+    def packed(batch, cols):
+        row, a, b, anchor, multi, own = (np.concatenate(c) for c in cols)
+        taken = [batch.column(k).take(pa.array(row)) for k in ("key", "at", "doc_id")]
+        return pa.RecordBatch.from_arrays([*taken, *map(pa.array, (a, b, anchor, multi, own))], names=[x.split()[0] for x in _STRETCHES.split(", ")])
+
     def run(batches):
         for batch in batches:
-            cols = [[] for _ in range(6)]
-            for k, text in enumerate(batch.column("text")):
+            cols, n = [[] for _ in range(6)], 0
+            for k, (at, text) in enumerate(zip(batch.column("at").to_pylist(), batch.column("text"), strict=True)):
                 data = text.as_py()
-                first, last, anchor, multi = stretches(data, length)
+                first, last, anchor, multi = stretches(data, length, gram)
                 if not len(first):
                     continue
                 own = [xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                for col, part in zip(cols, (np.full(len(first), k), first, last + length, _signed(anchor), multi, _signed(np.array(own, np.uint64))), strict=True):
+                for col, part in zip(cols, (np.full(len(first), k), at + first, at + last + length, _signed(anchor), multi, _signed(np.array(own, np.uint64))), strict=True):
                     col.append(part)
-            if not cols[0]:
-                continue
-            row, a, b, anchor, multi, own = (np.concatenate(c) for c in cols)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(row)), batch.column("doc_id").take(pa.array(row)), *map(pa.array, (a, b, anchor, multi, own))],
-                names=["key", "doc_id", "a", "b", "anchor", "multi", "context"],
-            )
+                n += len(first)
+                if n >= ROWS:
+                    yield packed(batch, cols)
+                    cols, n = [[] for _ in range(6)], 0
+            if n:
+                yield packed(batch, cols)
 
     return run
 
 
 def _context_rows(batches):
+    """The bytes of the wanted stretches of ``pieces``; each is a piece of its text in turn."""
+    names = ["anchor", "key", "at", "doc_id", "text"]
+
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=names)
+
     for batch in batches:
-        docs = zip(*[batch.column(k).to_pylist() for k in ("key", "doc_id", "wanted")], batch.column("text"), strict=True)
-        out = [[], [], [], [], []]
-        for key, doc, wanted, text in docs:
+        docs = zip(*[batch.column(k).to_pylist() for k in ("key", "doc_id", "at", "wanted")], batch.column("text"), strict=True)
+        out, size = [[], [], [], [], []], 0
+        for key, doc, at, wanted, text in docs:
             data = text.as_py()
             for w in wanted:
-                for col, x in zip(out, (w["anchor"], key, doc, w["a"], data[w["a"] : w["b"]]), strict=True):
+                for col, x in zip(out, (w["anchor"], key, w["a"], doc, data[w["a"] - at : w["b"] - at]), strict=True):
                     col.append(x)
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["anchor", "key", "doc_id", "start", "bytes"]
-        )
+                size += w["b"] - w["a"]
+                if size >= 8 << 20:
+                    yield packed(out)
+                    out, size = [[], [], [], [], []], 0
+        yield packed(out)
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    return np.unique(keys, return_inverse=True)[1].astype(np.uint32)
 
 
 class SuffixOrder:
@@ -155,14 +180,14 @@ class SuffixOrder:
             rank = self.ranks[size]
             base = int(rank.max()) + 2
             times = 3 if base**3 < 2**62 and 3 * size <= length else 2
-            key = rank + 1
+            key = rank.astype(np.int64) + 1
             for k in range(1, times):
-                key = key * base
+                key *= base
                 if k * size < len(rank):
-                    key[: -k * size] += rank[k * size :] + 1
+                    key[: -k * size] += rank[k * size :].astype(np.int64) + 1
             size *= times
             self.ranks[size] = _rank(key)
-        head, tail = self.ranks[size][starts], self.ranks[size][starts + length - size]
+        head, tail = self.ranks[size][starts].astype(np.int64), self.ranks[size][starts + length - size].astype(np.int64)
         key = head * (int(tail.max(initial=0)) + 1) + tail
         self.order = np.argsort(key)
         key = key[self.order]
@@ -267,8 +292,8 @@ def _sorted_groups(length: int, keep_first: bool):
             return pa.RecordBatch.from_arrays([pa.array(k), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("anchor", "key", "doc_id", "start")]
-            for anchor, key, doc, start, data in zip(*cols, batch.column("bytes"), strict=True):
+            cols = [batch.column(k).to_pylist() for k in ("anchor", "key", "doc_id", "at")]
+            for anchor, key, doc, start, data in zip(*cols, batch.column("text"), strict=True):
                 if anchor != group:
                     if size >= CHUNK:
                         if (got := out()) is not None:
@@ -283,26 +308,15 @@ def _sorted_groups(length: int, keep_first: bool):
     return run
 
 
-def _passages(length: int):
-    """Hashes of all passages of the contexts of very common anchors."""
-
-    def run(batches):
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("key", "doc_id", "start")]
-            out = [[], [], [], [], []]
-            for key, doc, start, data in zip(*cols, batch.column("bytes"), strict=True):
-                data = data.as_py()
-                for i in range(len(data) - length + 1):
-                    h = xxhash.xxh3_128_digest(data[i : i + length])
-                    for col, x in zip(out, (h, key, doc, start + i, start + i + length), strict=True):
-                        col.append(x)
-            kinds = [pa.binary()] + [pa.int64()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["h", "key", "doc_id", "a", "b"])
-
-    return run
+_RUN = "key long, a long, b long"
 
 
-_RUN = "key long, a long, b long"
+def _grams(length: int) -> list[int]:
+    """Gram lengths, from the first that anchors are taken from to a whole passage."""
+    out = [GRAM]
+    while 4 * out[-1] < length:
+        out.append(4 * out[-1])
+    return [*out, length]
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, group: int = GROUP) -> DataFrame:
@@ -312,43 +326,52 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, keep_first: bool = True
     """
     if length < 2 * GRAM:
         raise ValueError(f"passages have {2 * GRAM} bytes or more")
-    kinds = "key long, doc_id long, a long, b long, anchor long, multi boolean, context long"
-    every = written(docs.mapInArrow(_stretch_rows(length), kinds), "stretches")
+    pieces, found = docs.withColumn("at", F.lit(0).cast("long")), None
+    for gram in _grams(length):
+        runs, pieces = _level(pieces, length, gram, keep_first, group, first=found is None)
+        found = runs if found is None else found.unionByName(runs)
+        if pieces is None:
+            return found
+    raise AssertionError("an anchor as long as a passage has one context")
+
+
+def _level(pieces: DataFrame, length: int, gram: int, keep_first: bool, group: int, first: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Runs among ``pieces(key, at, doc_id, text)`` of texts, and the contexts left to longer grams, if any."""
+    every = written(pieces.mapInArrow(_stretch_rows(length, gram), _STRETCHES), "stretches")
     common = every.groupBy("anchor").agg(F.count("*").alias("c"), F.max("multi").alias("m")).where("c > 1 or m").select("anchor")
-    shared = written(every.join(common, "anchor"), "shared")
-
-    alike = shared.groupBy("anchor", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "a", "b")).alias("first"), F.max("multi").alias("m")
+    kept = written(every.join(common, "anchor"), "shared")
+    discard(every)
+
+    # equal contexts have equal anchors: two hashes and the length tell them apart
+    same = ["anchor", "context", "size"]
+    shared = kept.withColumn("size", F.col("b") - F.col("a"))
+    alike = shared.groupBy(same).agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "a", "b", "at")).alias("first"), F.max("multi").alias("m")
     )
     alike = written(alike, "contexts")
-    copied = shared.join(alike.where("n > 1").select("anchor", "context", "first"), ["anchor", "context"])
+    copied = shared.join(alike.where("n > 1").select(*same, "first"), same)
     if keep_first:
         copied = copied.where(~(F.struct("key", "a") == F.struct("first.key", "first.a")))
-    outright = copied.select("key", "a", "b")
+    outright = written(copied.select("key", "a", "b"), "copied")
+    discard(kept)
 
-    sizes = alike.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("first.b") - F.col("first.a")).alias("k"), F.max("m").alias("m"))
-    sizes = sizes.where("n > 1 or m").select("anchor", "k")
-    chosen = alike.join(sizes, "anchor").select("anchor", "first.key", "first.a", "first.b")
-    wanted = chosen.groupBy("key").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("wanted"))  # a text's own stretches
+    sizes = alike.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("k"), F.max("m").alias("m"))
+    sizes = sizes.where("n > 1 or m").select("anchor", (F.col("k") > group).alias("large"))
+    chosen = alike.join(sizes, "anchor").select("anchor", "large", "first.key", "first.a", "first.b", "first.at")
+    wanted = chosen.groupBy("key", "at").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("wanted"))  # a text's own stretches
     wanted = written(wanted, "wanted")
-    asked, _ = split_by_keys(docs, "key", wanted.select("key"))
-    contexts = asked.join(wanted, "key").mapInArrow(_context_rows, "anchor long, key long, doc_id long, start long, bytes binary")
-    large = sizes.where(F.col("k") > group).select("anchor")
+    large = written(chosen.where("large").select("anchor").distinct(), "large")
+    discard(alike)
+    asked = split_by_keys(pieces, "key", wanted.select("key"))[0] if first else pieces
+    contexts = asked.join(wanted, ["key", "at"]).mapInArrow(_context_rows, "anchor long, key long, at long, doc_id long, text binary")
     if large.isEmpty():
-        parts = contexts
-        far = None
+        parts, rest = contexts, None
     else:
-        contexts = written(contexts, "bytes")
+        contexts = written(contexts, "contexts")
         parts = contexts.join(large, "anchor", "left_anti")
-        passages = written(contexts.join(large, "anchor", "left_semi").mapInArrow(_passages(length), "h binary, key long, doc_id long, a long, b long"), "passages")
-        seen = passages.groupBy("h").agg(F.min(F.struct("doc_id", "key", "a")).alias("first"), F.max(F.struct("doc_id", "key", "a")).alias("last")).where("first <> last")
-        far = passages.join(seen.select("h", "first"), "h")
-        if keep_first:
-            far = far.where(~(F.struct("key", "a") == F.struct("first.key", "first.a")))
-        far = far.select("key", "a", "b")
-    sorted_rows = parts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "start")
-    runs = outright.unionByName(sorted_rows.mapInArrow(_sorted_groups(length, keep_first), _RUN))
-    return runs if far is None else runs.unionByName(far)
+        rest = contexts.join(large, "anchor", "left_semi").drop("anchor")
+    sorted_rows = parts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "at")
+    return outright.unionByName(sorted_rows.mapInArrow(_sorted_groups(length, keep_first), _RUN)), rest
 
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
