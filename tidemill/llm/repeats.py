@@ -410,9 +410,9 @@ def _with_spans(documents: DataFrame, length: int, keep_first: bool, id_col: str
 def repeated_bytes(
     documents: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP
 ) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends`` of every row.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends, text`` of every row.
 
-    A byte is removed if a string of ``length`` bytes that covers it also starts elsewhere, in this or
+    ``text`` is what is kept, without the halves of characters that a cut leaves. A byte is removed if a string of ``length`` bytes that covers it also starts elsewhere, in this or
     another text (with ``keep_first``: starts before). Null and empty texts, and those shorter than
     ``length``, keep all. Rows equal in id and text are copies of one another (with ``keep_first``
     their shared text has one place and both rows keep it). Other columns are ignored.
@@ -420,20 +420,21 @@ def repeated_bytes(
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 data, spans = text.as_py(), _united(spans)
-                row = (len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(data, spans)).hexdigest(), [a for a, _ in spans], [b for _, b in spans])
+                left = without(data, spans)
+                row = (len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), [a for a, _ in spans], [b for _, b in spans], left.decode("utf-8", "ignore"))
                 for col, x in zip(out, row, strict=True):
                     col.append(x)
-            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.list_(pa.int64())] * 2
+            kinds = [pa.int64()] * 3 + [pa.string()] + [pa.list_(pa.int64())] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")] + [pa.array(c, t) for c, t in zip(out, kinds, strict=True)],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "text"],
             )
 
     return _with_spans(documents, length, keep_first, id_col, text_col, group).mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, text string"
     )
 
 
@@ -470,12 +471,12 @@ def cut_later_copies(documents: DataFrame, length: int = LENGTH, id_col: str = "
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Bytes of whole texts in strings of 400 bytes that start anywhere else; one row per document."""
+    """Bytes of whole texts in strings of 400 bytes that start anywhere else, and the text that is kept; one row per document."""
     found = repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400, keep_first=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
-ORACLE_OP6 = """
+ORACLE_OP6 = r"""
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
 p AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 399)) AS i, h FROM d WHERE len(h) >= 800),
 w AS (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 800)) AS s FROM p),
@@ -489,6 +490,10 @@ c AS (SELECT t.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS l
       FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
 SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(CASE WHEN c.doc_id IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256
+       sha256(unhex(CASE WHEN c.doc_id IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256,
+       CASE WHEN c.doc_id IS NULL THEN decode(unhex(h)) ELSE decode(unhex(array_to_string(list_filter(
+         regexp_extract_all(kept || substring(h, 2 * last + 1),
+           '[0-7].|(?:c[2-9a-f]|d.)[89ab].|e0[ab].[89ab].|e[1-9abcef](?:[89ab].){2}|ed[89].[89ab].|f0[9ab].(?:[89ab].){2}|f[123](?:[89ab].){3}|f48.(?:[89ab].){2}|..'),
+         lambda x: len(x) > 2 OR x < '8'), ''))) END AS text
 FROM d LEFT JOIN c USING (doc_id)
 """
