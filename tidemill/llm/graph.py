@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import written
+from tidemill.llm.common import discard, written
 
 #: Links whose union-find forest one task holds at a time.
 LINKS_PER_TASK = 200_000
@@ -72,7 +72,8 @@ def components(links: DataFrame) -> DataFrame:
         stars = written(links.coalesce(max(1, tasks)).mapInArrow(_forest, "a long, b long"), "stars")
         if tasks <= 1:
             break
-        links = written(_small_star(_large_star(stars)), "links")
+        spent, links = links, written(_small_star(_large_star(stars)), "links")
+        discard(spent, stars)
         n = links.count()
         # done when no centre is itself linked to a smaller node, and no node has two centres
         if n == links.select("a").distinct().count() and links.select(F.col("b").alias("a")).join(links, "a", "left_semi").isEmpty():

@@ -4,9 +4,10 @@ One hash function orders the shingles of a document; the ``K`` smallest values a
 Documents with equal sets are one class from the start. Then:
 
 1. Inverted lists of retained values generate overlaps. Two sets of similarity 0.8 share at
-   least ``OVERLAP`` of their ``K`` values (but for about one pair in 10^8, see ``OVERLAP``), so
+   least ``OVERLAP`` of their ``K`` values (but for about one pair in 6 * 10^7, see ``OVERLAP``), so
    they meet in the list of one of the ``K - OVERLAP + 1`` rarest values of either sketch; only
-   those values get list entries, and a word pair that half the corpus has gets none.
+   those values get list entries, and a word pair that half the corpus has gets none. Lists are
+   kept apart by size: sets of which one has less than 0.8 of the other's size never meet.
 2. Each entry's class is compared with the most central class of its lists, the one whose own
    sketch is shared most. Confirmed links give components.
 3. Lists whose members are in several components leave pairs to decide. Members outside a
@@ -20,13 +21,15 @@ key and dealt out in salted blocks.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER, as_bytes, numbered, split_by_keys, written
+from tidemill.llm.common import LOWER, as_bytes, discard, numbered, split_by_keys, written
 from tidemill.llm.graph import components
 
 K = 64
@@ -89,15 +92,29 @@ def _sketches(n: int):
     return run
 
 
+def _bands(n: str):
+    """The size bands of a set: two sets of which the smaller has 0.8 of the larger's size share one.
+
+    Bands are three times as wide as that ratio, so that only the sets in the lower third of one are in
+    the band below too.
+    """
+    x = F.log(F.col(n).cast("double")) / (3 * math.log(1.25))
+    return F.array_distinct(F.array(F.floor(x), F.floor(x - (1 / 3 + 1e-9))))
+
+
 def _entries(classes: DataFrame) -> DataFrame:
-    """``v, sig, central``: the inverted lists' entries, of lists with two members or more."""
-    values = classes.select("sig", F.explode("sketch").alias("v"))
+    """``v, sig, central``: the inverted lists' entries, of lists with two members or more.
+
+    There is a list, ``v``, for each retained value and size band.
+    """
+    banded = classes.select("sig", "sketch", F.explode(_bands("n")).alias("band")).select("sig", "band", F.explode("sketch").alias("v"))
+    values = banded.select("sig", "band", F.xxhash64("v", "band").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    own = values.join(shared, "v").groupBy("sig").agg(F.collect_list(F.struct("df", "v")).alias("e"))  # K at most
+    own = values.join(shared, "v").groupBy("sig", "band").agg(F.collect_list(F.struct("df", "v")).alias("e"))  # K at most
     own = own.join(classes.select("sig", "n"), "sig")
     k = F.least(F.col("n"), F.lit(K)).cast("int")
     need = F.least(F.lit(OVERLAP), F.ceil(F.col("n") * 4 / 5)).cast("int")
-    # the values that no other class has come first among the rarest, and make no entries
+    # the values that no other class of the band has come first among the rarest, and make no entries
     take = F.greatest(F.lit(0), F.size("e") - need + 1)
     kept = own.select(
         "sig", (F.size("e") / k).alias("central"), F.explode(F.slice(F.array_sort("e"), F.lit(1), take)).alias("e")
@@ -267,7 +284,7 @@ def _verify(n: int, percent: int):
 
 
 def _confirm(blocks: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Exact links between ``blocks(block, sig, label)`` and ``members(block, sig, label)``.
+    """Exact links between ``blocks(block, sig, label)`` and ``members(block, sig, label)``, written.
 
     A block that many classes stream past is copied to as many salts as it takes. Sketches go first;
     texts are fetched for the classes whose sketches pass.
@@ -284,12 +301,14 @@ def _confirm(blocks: DataFrame, members: DataFrame, classes: DataFrame, docs: Da
     brief = classes.select("sig", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("brief"))
     rows = held.unionByName(stream).join(brief, "sig").repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("indexed"))
     near = written(rows.mapInArrow(_screen, "block long, salt int, indexed boolean, sig long, label long"), "near")
-    near = near.join(classes.select("sig", "rep"), "sig")
-    ids = near.select("rep").distinct()
+    named = near.join(classes.select("sig", "rep"), "sig")
+    ids = named.select("rep").distinct()
     asked, _ = split_by_keys(docs, "doc_id", ids)
-    rows = near.withColumnRenamed("rep", "doc_id").join(asked, "doc_id").drop("doc_id")
+    rows = named.withColumnRenamed("rep", "doc_id").join(asked, "doc_id").drop("doc_id")
     rows = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("indexed"))
-    return rows.mapInArrow(_verify(n, percent), "a long, b long")
+    links = written(rows.mapInArrow(_verify(n, percent), "a long, b long"), "links")
+    discard(near)
+    return links
 
 
 def near_duplicates(
@@ -321,12 +340,14 @@ def near_duplicates(
     best = named.groupBy("sig").agg(F.max(F.struct("times", "centre")).alias("b"))
     pairs = written(best.select("sig", F.col("b.centre").alias("block")), "centres")
     blocks = pairs.select("block").distinct().select("block", F.col("block").alias("sig"), F.col("block").alias("label"))
-    first = written(_confirm(blocks, pairs.select("block", "sig", F.col("sig").alias("label")), reps, docs, n, percent), "links")
+    first = _confirm(blocks, pairs.select("block", "sig", F.col("sig").alias("label")), reps, docs, n, percent)
+    discard(pairs)
     joined = components(first)
 
     # 3. lists that hold several components
     at = entries.select("v", "sig").join(joined.withColumnRenamed("node", "sig"), "sig", "left")
     at = written(at.select("v", "sig", F.coalesce("component", "sig").alias("label")), "labelled")
+    discard(entries)
     sizes = at.groupBy("v", "label").agg(F.count("*").alias("c")).groupBy("v")
     mixed = sizes.agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size"), F.count("*").alias("k")).where("k > 1")
     minor = at.join(mixed.select("v", F.col("m.label").alias("major"), "size"), "v").where("label <> major")
@@ -341,11 +362,13 @@ def near_duplicates(
     home = written(home, "blocks")
     lists = minor.select("v", "sig").join(home.select("sig", "block"), "sig").select("v", "block").distinct()
     members = lists.join(at, "v").select("block", "sig", "label").distinct()
-    second = written(_confirm(home, members, reps, docs, n, percent), "links")
+    second = _confirm(home, members, reps, docs, n, percent)
+    discard(at, minor, home)
     group = components(first.unionByName(second))
 
     labels = reps.select("sig", "rep").join(group.withColumnRenamed("node", "sig"), "sig", "left")
     labels = written(labels.select("sig", "rep", F.coalesce("component", "sig").alias("group")), "groups")
+    discard(reps)
     ids = labels.groupBy("group").agg(F.min("rep").alias("component_id"))
     names = labels.join(ids, "group").select("sig", "component_id")
     out = sketches.select("doc_id", "n_shingles", "sig").join(names, "sig", "left")
