@@ -105,21 +105,25 @@ def _bands(n: str):
 def _entries(classes: DataFrame) -> DataFrame:
     """``v, sig, central``: the inverted lists' entries, of lists with two members or more.
 
-    There is a list, ``v``, for each retained value and size band.
+    There is a list for each retained value and size band; its name ``v`` begins with how common it is,
+    so that the order of names is the order of rarity.
     """
-    banded = classes.select("sig", "sketch", F.explode(_bands("n")).alias("band")).select("sig", "band", F.explode("sketch").alias("v"))
-    values = banded.select("sig", "band", F.xxhash64("v", "band").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    own = values.join(shared, "v").groupBy("sig", "band").agg(F.collect_list(F.struct("df", "v")).alias("e"))  # K at most
-    own = own.join(classes.select("sig", "n"), "sig")
     k = F.least(F.col("n"), F.lit(K)).cast("int")
-    need = F.least(F.lit(OVERLAP), F.ceil(F.col("n") * 4 / 5)).cast("int")
+    banded = classes.select("sig", "sketch", k.alias("k"), F.explode(_bands("n")).alias("band"))
+    own = F.xxhash64("v", "band").bitwiseAND(F.lit((1 << 56) - 1))
+    # a set's band and how many values it retains go in one number: these are the most rows there are
+    values = banded.select("sig", "band", (F.col("band") * 256 + F.col("k")).cast("int").alias("band_k"), F.explode("sketch").alias("v"))
+    values = values.select("sig", "band_k", own.alias("v"))
+    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    rarity = F.least(F.lit(127), F.floor(F.log2("df") * 3)).cast("long")
+    shared = shared.select("v", F.shiftleft(rarity, 56).bitwiseOR(F.col("v")).alias("name"))
+    lists = values.join(shared, "v").groupBy("sig", "band_k").agg(F.collect_list("name").alias("e"))  # K at most
+    k = F.pmod("band_k", F.lit(256))
+    # a class of fewer than K values retains all: that is its size
+    need = F.least(F.lit(OVERLAP), F.ceil(k * 4 / 5)).cast("int")
     # the values that no other class of the band has come first among the rarest, and make no entries
     take = F.greatest(F.lit(0), F.size("e") - need + 1)
-    kept = own.select(
-        "sig", (F.size("e") / k).alias("central"), F.explode(F.slice(F.array_sort("e"), F.lit(1), take)).alias("e")
-    )
-    return kept.select(F.col("e.v").alias("v"), "sig", "central")
+    return lists.select(F.explode(F.slice(F.array_sort("e"), F.lit(1), take)).alias("v"), "sig", (F.size("e") / k).alias("central"))
 
 
 #: Fills up short sketches; sketches are shipped as the upper 32 bits of their values, in order.
@@ -328,10 +332,15 @@ def near_duplicates(
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
     sketches = written(docs.mapInArrow(_sketches(n), "doc_id long, n_shingles long, sig long, sketch array<long>"), "sketches")
     worded = sketches.where("sig is not null")
-    classes = worded.groupBy("sig").agg(
+    # only sets that come again have to be shuffled
+    again = worded.groupBy("sig").count().where("count > 1").select("sig")
+    possible, clear = split_by_keys(worded, "sig", again)
+    classes = possible.groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
-    reps = written(classes, "classes")
+    reps = written(clear.select("sig", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").unionByName(classes), "classes")
+    documents = written(sketches.select("doc_id", "n_shingles", "sig"), "documents")
+    discard(sketches)
     entries = written(_entries(reps.where("rep is not null")), "entries")
 
     # 2. each class against the centre that most of its lists name
@@ -371,7 +380,7 @@ def near_duplicates(
     discard(reps)
     ids = labels.groupBy("group").agg(F.min("rep").alias("component_id"))
     names = labels.join(ids, "group").select("sig", "component_id")
-    out = sketches.select("doc_id", "n_shingles", "sig").join(names, "sig", "left")
+    out = documents.join(names, "sig", "left")
     return out.select(
         "doc_id",
         "n_shingles",
