@@ -17,10 +17,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import split_by_keys, written
+from tidemill.llm.common import discard, split_by_keys, written
 
 SCALES = (1.0, 0.75, 0.5)
 RADIUS = 9
@@ -29,8 +30,8 @@ BITS = 128
 DISTANCE, VOTES = 20, 6
 #: Parts of a descriptor, and bits in which one of them may differ: PARTS * (PROBE + 1) > DISTANCE, so no pair is missed.
 PARTS, PROBE = 7, 2
-#: Descriptors of query images that are searched at once, and pairs that are compared at once.
-ASKED, PAIRS = 1 << 18, 1 << 20
+#: Corners of query images that are searched at once, corners of other images beside them, and pairs that are compared at once.
+ASKED, CORNERS, PAIRS = 1 << 18, 1 << 11, 1 << 20
 #: Pixels by which a match may lie off, at least and as a part of the matched region; how far its own angle (radians) and zoom (log2) may be off.
 OFF, OFF_PART, OFF_ANGLE, OFF_ZOOM = 2.5, 0.02, math.pi / 4, 0.75
 #: How often matches that agree by chance may pass for a copy, among pairs of images.
@@ -138,25 +139,35 @@ def describe(image: np.ndarray):
     return np.concatenate(frames), np.concatenate(bits)
 
 
-_ROWS = "class_id long, corner int, y float, x float, scale float, angle float, high long, low long"
+#: Corners of an image: frames (y, x, scale, angle) one after the other, and two words of bits each.
+_ROWS = "class_id long, n int, frames array<float>, words array<long>"
 
 
 def _describe(batches):
+    """One row per image, so that an image's corners are never dealt out to several tasks."""
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.float32()), pa.list_(pa.int64())]
     for batch in batches:
-        out = [[] for _ in range(8)]
+        out = [[] for _ in kinds]
         for owner, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             image = decode(data.as_py())
             if image is None:
                 continue
             frame, bits = describe(image)
-            words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(">i8").astype(np.int64).reshape(-1, 2)
-            for col, x in zip(out, ([owner] * len(frame), range(len(frame)), *frame.T, *words.T), strict=True):
-                col.extend(x)
-        kinds = [pa.int64(), pa.int32(), *[pa.float32()] * 4, pa.int64(), pa.int64()]
-        names = [x.split()[0] for x in _ROWS.split(", ")]
+            words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(">i8").astype(np.int64)
+            for col, x in zip(out, (owner, len(frame), frame.astype(np.float32).ravel(), words.ravel()), strict=True):
+                col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
 
+def _corners(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a batch of images, each corner's image (by its row), frame and words."""
+    n = batch.column("n").to_numpy()
+    frames = pa.compute.list_flatten(batch.column("frames")).to_numpy().reshape(-1, 4)
+    words = pa.compute.list_flatten(batch.column("words")).to_numpy().view(np.uint64).reshape(-1, 2)
+    return np.repeat(np.arange(len(n)), n), frames, words
+
+
 def _part_keys(bits: np.ndarray) -> list[np.ndarray]:
     """Each part of the descriptors as a number."""
     return [bits[:, part] @ (1 << np.arange(len(part))) for part in _PART_BITS]
@@ -273,36 +284,40 @@ def agree(m: np.ndarray, votes: int) -> bool:
     return False
 
 
-_MATCH = "q long, c long, m array<float>"
-
-
-def _matches(asked):
-    """Matches of corners with the asked ones of other classes."""
-
-    def run(batches):
-        owner, frame, words = asked.value
-        matcher = Matcher(words)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                mine = np.stack([part.column(n).to_numpy().view(np.uint64) for n in ("high", "low")], axis=1)
-                a, b = matcher.search(mine)
-                ids = part.column("class_id").to_numpy()
-                other = ids[a] != owner[b]
-                a, b = a[other], b[other]
-                own = np.stack([part.column(n).to_numpy().astype(np.float32) for n in ("corner", "y", "x", "scale", "angle")], axis=1)
-                rows = np.concatenate([frame[b], own[a]], axis=1)
-                m = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), 10).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array(owner[b]), pa.array(ids[a]), m], names=["q", "c", "m"])
-
-    return run
+def _agreeing(asked, votes: int):
+    """Images past which a lot of asked images streams: which of those each is a copy of.
 
+    All corners of both images are here, so their matches are never written or shuffled.
+    """
 
-def _agreeing(votes: int):
     def run(batches):
+        asked_ids, asked_row, asked_frames, asked_words = asked.value
+        matcher = Matcher(asked_words)
+        local = np.arange(len(asked_row)) - np.searchsorted(asked_row, asked_row)  # a corner's number in its image
         for batch in batches:
-            ok = [agree(np.array(m.as_py(), np.float64).reshape(-1, 10), votes) for m in batch.column("m")]
-            yield batch.select(["q", "c"]).filter(pa.array(ok, pa.bool_()))
+            ids = batch.column("class_id").to_numpy()
+            n = batch.column("n").to_numpy()
+            begin, pairs = 0, []
+            while begin < len(ids):  # some thousand corners at a time, whole images
+                end = max(begin + 1, int(np.searchsorted(np.cumsum(n[begin:]), CORNERS, "right")) + begin)
+                part = batch.slice(begin, end - begin)
+                row, frames, words = _corners(part)
+                a, b = matcher.search(words)
+                mine, theirs = row[a], asked_row[b]
+                other = ids[begin + mine] != asked_ids[theirs]
+                a, b, mine, theirs = a[other], b[other], mine[other], theirs[other]
+                order = np.lexsort([mine, theirs])
+                edge = np.flatnonzero(np.r_[True, (np.diff(theirs[order]) != 0) | (np.diff(mine[order]) != 0), True]) if len(order) else np.zeros(1, int)
+                corner = np.arange(len(row)) - np.searchsorted(row, row)
+                for i, j in zip(edge[:-1], edge[1:], strict=True):
+                    if j - i < votes:
+                        continue
+                    p, q = a[order[i:j]], b[order[i:j]]
+                    m = np.column_stack([local[q], asked_frames[q], corner[p], frames[p]]).astype(np.float64)
+                    if agree(m, votes):
+                        pairs.append((int(asked_ids[theirs[order[i]]]), int(ids[begin + mine[order[i]]])))
+                begin = end
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["q", "c"])
 
     return run
 
@@ -310,23 +325,22 @@ def _agreeing(votes: int):
 def _linked(found: DataFrame, classes: DataFrame, votes: int) -> DataFrame:
     """``q, c``: classes with a query and the classes of which they hold a copy.
 
-    The asked corners are taken some at a time, and all corners are read past each lot.
+    The asked images are taken in lots of about ``ASKED`` corners, and all images are read past each lot.
     """
     spark = found.sparkSession
-    asked = found.join(classes.where("asked").select("class_id"), "class_id", "left_semi")
-    asked = written(asked.withColumn("lot", F.xxhash64("class_id", "corner")), "asked")
-    lots = max(1, -(-asked.count() // ASKED))
-    matches = None
+    asked = written(found.join(classes.where("asked").select("class_id"), "class_id", "left_semi").where("n > 0"), "asked")
+    lots = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // ASKED))
+    links = None
     for lot in range(lots):
-        t = asked.where(F.pmod("lot", F.lit(lots)) == lot).toArrow()
-        frame = np.stack([t.column(n).to_numpy().astype(np.float32) for n in ("corner", "y", "x", "scale", "angle")], axis=1)
-        words = np.stack([t.column(n).to_numpy().view(np.uint64) for n in ("high", "low")], axis=1)
-        shared = spark.sparkContext.broadcast((t.column("class_id").to_numpy(), frame, words))
-        some = written(found.mapInArrow(_matches(shared), _MATCH), "matches")
+        t = asked.where(F.pmod(F.xxhash64("class_id"), F.lit(lots)) == lot).toArrow().combine_chunks()
+        if not t.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((t.column("class_id").to_numpy(), *_corners(t)))
+        some = written(found.mapInArrow(_agreeing(shared, votes), "q long, c long"), "links")
         shared.destroy()
-        matches = some if matches is None else matches.unionByName(some)
-    per = matches.groupBy("q", "c").agg(F.flatten(F.collect_list("m")).alias("m")).where(F.size("m") >= 10 * votes)
-    return per.mapInArrow(_agreeing(votes), "q long, c long")
+        links = some if links is None else links.unionByName(some)
+    discard(asked)
+    return links if links is not None else spark.createDataFrame([], "q long, c long")
 
 
 def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image", every: int = 20, votes: int = VOTES) -> DataFrame:
@@ -351,6 +365,7 @@ def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image",
     found = written(firsts.mapInArrow(_describe, _ROWS), "corners")
 
     agreed = _linked(found, classes, votes)
+    discard(found)
     links = agreed.groupBy("q").agg(F.array_sort(F.collect_set("c")).alias("links"))
     none = F.array().cast("array<long>")
     named = classes.join(links.withColumnRenamed("q", "class_id"), "class_id", "left").select("sum", "class_id", F.coalesce("links", none).alias("links"))
