@@ -146,6 +146,26 @@ def test_media_matches_against_brute_force():
     assert near.sum() == len(a) and near[a, b].all() and near.sum() > len(asked)
 
 
+def test_noticed_images_against_brute_force(spark):
+    """Recall of the noticed pairs, by the kind of edit and in all, against links from all pairs of descriptors."""
+    images = planted_images(2)
+    seen = {k: media.describe(media.decode(data)) for k, data in images.items()}
+    words = {k: np.packbits(bits, axis=1).view(">u8").astype(np.uint64).reshape(-1, 2) for k, (_, bits) in seen.items()}
+    frames = {k: f.astype(np.float32) for k, (f, _) in seen.items()}
+    true = set()
+    for q in (0, 100):
+        for c in set(images) - {q}:
+            m = media._matches(frames[q], words[q], frames[c], words[c])
+            if len(m) >= media.VOTES and media.agree(m, media.VOTES):
+                true.add((q, c))
+    rows = media.copies(spark.createDataFrame([*images.items()], "media_id long, image binary"), every=100).collect()
+    found = {(r.media_id, c) for r in rows if r.is_query for c in r.links}
+    assert found <= true and len(found) >= 0.99 * len(true)
+    for edit in range(1, 10):  # each kind: turned, scaled by 0.6 to 1.3, noisy, all at once
+        assert any((q, q + edit) in found for q in (0, 100)), edit
+    assert len(found) >= 0.9 * 18
+
+
 @needs_data
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline

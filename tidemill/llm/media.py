@@ -4,7 +4,8 @@ Corners are found at several scales; around each, a patch is turned by its own o
 pairs of its points are compared, which gives 128 bits that survive cropping, turning, and changes
 of brightness or contrast. The bits are dealt into parts; two descriptors within ``DISTANCE`` differ
 in at most ``PROBE`` bits of one of them, so keys of each part and all their neighbours propose every
-such pair, and the Hamming distance confirms it. Pairs of matches give the shift, turn and zoom that
+such pair, and the Hamming distance confirms it. Images that meet so at their closest corners are compared
+corner by corner. Pairs of matches give the shift, turn and zoom that
 take one image to the other. Only images in which enough matches agree are copies.
 
 Images are 8-bit grey PGM (``P5``) bytes. Images with equal bytes are one class and are read once.
@@ -30,8 +31,12 @@ BITS = 128
 DISTANCE, VOTES = 20, 6
 #: Parts of a descriptor, and bits in which one of them may differ: PARTS * (PROBE + 1) > DISTANCE, so no pair is missed.
 PARTS, PROBE = 7, 2
+#: Matches with so few differing bits in some part make a pair of images noticed, and how many it takes; all matches
+#: of noticed images are then found. Of six matches at the full distance five would have to escape (each does so once
+#: in six times) for a copy to go unnoticed.
+NOTICE, NOTICED = 1, 2
 #: Corners of query images that are searched at once, corners of other images beside them, and pairs that are compared at once.
-ASKED, CORNERS, PAIRS = 1 << 18, 1 << 11, 1 << 20
+ASKED, CORNERS, PAIRS = 1 << 18, 1 << 11, 1 << 17
 #: Pixels by which a match may lie off, at least and as a part of the matched region; how far its own angle (radians) and zoom (log2) may be off.
 OFF, OFF_PART, OFF_ANGLE, OFF_ZOOM = 2.5, 0.02, math.pi / 4, 0.75
 #: How often matches that agree by chance may pass for a copy, among pairs of images.
@@ -41,7 +46,25 @@ CHANCE = 1e-3
 def _pattern(seed: int = 17):
     rng = np.random.default_rng(seed)
     points = np.clip(rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS / math.sqrt(2), RADIUS / math.sqrt(2))
-    return points, np.array_split(rng.permutation(BITS), PARTS)
+    return points, _parted(points, [len(x) for x in np.array_split(rng.permutation(BITS), PARTS)])
+
+
+def _parted(points: np.ndarray, sizes: list[int], reach: float = 1.5) -> list[np.ndarray]:
+    """Bits dealt into parts so that tests of nearby points, which often agree, lie in different parts.
+
+    A part's keys then tell most descriptors apart. Neighbouring pixels of a blurred image are alike up to
+    about ``reach``; from that follows how alike two tests are.
+    """
+    near = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(2) / (2 * reach**2))
+    a, b = points[:, 0], points[:, 1]
+    alike = near(a, a) - near(a, b) - near(b, a) + near(b, b)
+    scale = np.sqrt(np.maximum(np.diag(alike), 1e-6))
+    alike = (alike / np.outer(scale, scale)) ** 2
+    parts: list[list[int]] = [[] for _ in sizes]
+    for bit in np.argsort(-alike.sum(0), kind="stable"):
+        cost = [alike[bit, p].sum() if len(p) < n else np.inf for p, n in zip(parts, sizes, strict=True)]
+        parts[int(np.argmin(cost))].append(int(bit))
+    return [np.array(p) for p in parts]
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -173,42 +196,52 @@ def _part_keys(bits: np.ndarray) -> list[np.ndarray]:
     return [bits[:, part] @ (1 << np.arange(len(part))) for part in _PART_BITS]
 
 
-def _neighbours(n: int) -> np.ndarray:
-    """Every number of ``n`` bits of which at most ``PROBE`` are set."""
-    return np.array([sum(1 << b for b in c) for k in range(PROBE + 1) for c in itertools.combinations(range(n), k)])
+def _neighbours(n: int, probe: int) -> np.ndarray:
+    """Every number of ``n`` bits of which at most ``probe`` are set."""
+    return np.array([sum(1 << b for b in c) for k in range(probe + 1) for c in itertools.combinations(range(n), k)])
 
 
-_NEAR = [_neighbours(len(part)) for part in _PART_BITS]
+_NEAR = {probe: [_neighbours(len(part), probe) for part in _PART_BITS] for probe in range(PROBE + 1)}
 
 
 class Matcher:
     """Finds every pair of descriptors within ``DISTANCE`` of a fixed set, as two rows of 64-bit words."""
 
     def __init__(self, words: np.ndarray):
-        self.words = words
-        self.parts = []
+        self.size, self.parts = len(words), []
         for part, key in zip(_PART_BITS, _part_keys(_bits(words)), strict=True):
-            self.parts.append((np.argsort(key, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << len(part)))])))
+            order = np.argsort(key, kind="stable")
+            begin = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << len(part)))])
+            # the words lie in the order of the part's keys, so that those of one key are neighbours
+            self.parts.append((order, begin, *(np.ascontiguousarray(words[order, k]) for k in (0, 1))))
 
-    def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index in ``words``, index in the set) of every pair, once."""
+    def search(self, words: np.ndarray, probe: int = PROBE) -> tuple[np.ndarray, np.ndarray]:
+        """(index in ``words``, index in the set) of every pair, once.
+
+        With a smaller ``probe``, only of the pairs that differ in so few bits of some part.
+        """
         found = [np.empty(0, np.int64)]
-        for key, near, (order, begin) in zip(_part_keys(_bits(words)), _NEAR, self.parts, strict=True):
-            probe = (key[:, None] ^ near[None, :]).ravel()
-            lo, size = begin[probe], begin[probe + 1] - begin[probe]
+        high, low = (np.ascontiguousarray(words[:, k]) for k in (0, 1))
+        for key, near, (order, begin, theirs_high, theirs_low) in zip(_part_keys(_bits(words)), _NEAR[probe], self.parts, strict=True):
+            keys = (key[:, None] ^ near[None, :]).ravel()
+            lo = begin[keys]
+            size = begin[keys + 1] - lo
             some = np.flatnonzero(size)
-            ends = np.cumsum(size[some])
+            lo, size, mine = lo[some], size[some], some // len(near)
+            ends = np.cumsum(size)
             at = 0
             while at < len(some):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-                n, here = size[some[at:to]], some[at:to]
-                b = order[np.repeat(lo[here] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                a = np.repeat(here // len(near), n)
-                d = np.bitwise_count(words[a, 0] ^ self.words[b, 0]) + np.bitwise_count(words[a, 1] ^ self.words[b, 1])
-                ok = d <= DISTANCE
-                found.append(a[ok] * len(self.words) + b[ok])
+                done = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+                n, begins, own = size[at:to], ends[at:to] - size[at:to] - done, mine[at:to]
+                place = np.repeat(lo[at:to] - begins, n)
+                place += np.arange(len(place))
+                d = np.bitwise_count(np.repeat(high[own], n) ^ theirs_high.take(place))
+                d += np.bitwise_count(np.repeat(low[own], n) ^ theirs_low.take(place))
+                ok = np.flatnonzero(d <= DISTANCE)
+                found.append(own[np.searchsorted(begins, ok, "right") - 1] * self.size + order[place[ok]])
                 at = to
-        return np.divmod(np.unique(np.concatenate(found)), max(1, len(self.words)))
+        return np.divmod(np.unique(np.concatenate(found)), max(1, self.size))
 
 
 def _bits(words: np.ndarray) -> np.ndarray:
@@ -284,6 +317,13 @@ def agree(m: np.ndarray, votes: int) -> bool:
     return False
 
 
+def _matches(q_frames, q_words, c_frames, c_words) -> np.ndarray:
+    """Every match of two images' corners, as ``agree`` takes them."""
+    d = np.bitwise_count(q_words[:, None, 0] ^ c_words[None, :, 0]) + np.bitwise_count(q_words[:, None, 1] ^ c_words[None, :, 1])
+    q, c = np.nonzero(d <= DISTANCE)
+    return np.column_stack([q, q_frames[q], c, c_frames[c]]).astype(np.float64)
+
+
 def _agreeing(asked, votes: int):
     """Images past which a lot of asked images streams: which of those each is a copy of.
 
@@ -293,29 +333,23 @@ def _agreeing(asked, votes: int):
     def run(batches):
         asked_ids, asked_row, asked_frames, asked_words = asked.value
         matcher = Matcher(asked_words)
-        local = np.arange(len(asked_row)) - np.searchsorted(asked_row, asked_row)  # a corner's number in its image
+        edges = np.searchsorted(asked_row, np.arange(len(asked_ids) + 1))
         for batch in batches:
             ids = batch.column("class_id").to_numpy()
             n = batch.column("n").to_numpy()
             begin, pairs = 0, []
             while begin < len(ids):  # some thousand corners at a time, whole images
                 end = max(begin + 1, int(np.searchsorted(np.cumsum(n[begin:]), CORNERS, "right")) + begin)
-                part = batch.slice(begin, end - begin)
-                row, frames, words = _corners(part)
-                a, b = matcher.search(words)
-                mine, theirs = row[a], asked_row[b]
-                other = ids[begin + mine] != asked_ids[theirs]
-                a, b, mine, theirs = a[other], b[other], mine[other], theirs[other]
-                order = np.lexsort([mine, theirs])
-                edge = np.flatnonzero(np.r_[True, (np.diff(theirs[order]) != 0) | (np.diff(mine[order]) != 0), True]) if len(order) else np.zeros(1, int)
-                corner = np.arange(len(row)) - np.searchsorted(row, row)
-                for i, j in zip(edge[:-1], edge[1:], strict=True):
-                    if j - i < votes:
-                        continue
-                    p, q = a[order[i:j]], b[order[i:j]]
-                    m = np.column_stack([local[q], asked_frames[q], corner[p], frames[p]]).astype(np.float64)
-                    if agree(m, votes):
-                        pairs.append((int(asked_ids[theirs[order[i]]]), int(ids[begin + mine[order[i]]])))
+                row, frames, words = _corners(batch.slice(begin, end - begin))
+                at = np.searchsorted(row, np.arange(end - begin + 1))
+                a, b = matcher.search(words, NOTICE)
+                pair, times = np.unique(row[a] * len(asked_ids) + asked_row[b], return_counts=True)
+                for x, y in zip(*np.divmod(pair[times >= NOTICED], len(asked_ids)), strict=True):
+                    if ids[begin + x] != asked_ids[y]:
+                        mine, theirs = slice(at[x], at[x + 1]), slice(edges[y], edges[y + 1])
+                        m = _matches(asked_frames[theirs], asked_words[theirs], frames[mine], words[mine])
+                        if len(m) >= votes and agree(m, votes):
+                            pairs.append((int(asked_ids[y]), int(ids[begin + x])))
                 begin = end
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["q", "c"])
 
