@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -73,6 +74,39 @@ def sweep(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/tidemill")
 
 
+#: Bytes of rows handed to a Python worker at once, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches, whose worker gives its memory back when a task ends.
+
+    Spark's own batches of up to 64 MB stand several times in an executor's memory; the setting is lowered for
+    the session where it has its default.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH).rstrip("bB") == str(64 << 20):
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
+def release() -> None:
+    """Free memory that this process's allocators hold for later; a worker may serve another operator next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 #: Bits of the filter that tells which rows a set of keys may concern.
 FILTER_BITS = 1 << 26
 
@@ -107,7 +141,7 @@ def split_by_keys(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame,
         return run
 
     marked = df.withColumn("__places", _places(key))
-    return marked.mapInArrow(part(True), df.schema), marked.mapInArrow(part(False), df.schema)
+    return marked.transform(mapped, part(True), df.schema), marked.transform(mapped, part(False), df.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

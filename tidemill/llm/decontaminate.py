@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WORD, as_bytes
+from tidemill.llm.common import WORD, as_bytes, mapped
 
 #: Patterns of like length share one automaton: its shifts are as long as its shortest pattern allows.
 LENGTH_CLASSES = (4, 12, 24, 48)
@@ -196,9 +196,9 @@ def benchmark_hits(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")
     )
     passes = [
-        docs.mapInArrow(_scan(n, spark.sparkContext.broadcast(block)), _SPANS)
+        docs.transform(mapped, _scan(n, spark.sparkContext.broadcast(block)), _SPANS)
         for block in blocks(benchmark, item_col, item_text)
-    ] or [docs.mapInArrow(_scan(n, spark.sparkContext.broadcast((uuid.uuid4().hex, []))), _SPANS)]
+    ] or [docs.transform(mapped, _scan(n, spark.sparkContext.broadcast((uuid.uuid4().hex, []))), _SPANS)]
     if len(passes) == 1:
         return passes[0].drop("row")
     found = passes[0]
@@ -223,7 +223,7 @@ def benchmark_hits(
                 names=["doc_id", "n_words", "starts", "ends", "items"],
             )
 
-    return merged.mapInArrow(unite, _SPANS.removeprefix("row long, "))
+    return merged.transform(mapped, unite, _SPANS.removeprefix("row long, "))
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +242,7 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col:
                 texts = (x.as_py() for x in batch.column(at))
                 yield batch.filter(pa.array([x is None or not windows.found(words_of(x.encode("utf-8", "surrogatepass"))) for x in texts], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = documents.transform(mapped, run, documents.schema)
     return documents
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import discard, written
+from tidemill.llm.common import discard, mapped, written
 
 #: Links whose union-find forest one task holds at a time.
 LINKS_PER_TASK = 200_000
@@ -69,7 +69,7 @@ def components(links: DataFrame) -> DataFrame:
     n = links.count()
     while True:
         tasks = -(-n // LINKS_PER_TASK)
-        stars = written(links.coalesce(max(1, tasks)).mapInArrow(_forest, "a long, b long"), "stars")
+        stars = written(links.coalesce(max(1, tasks)).transform(mapped, _forest, "a long, b long"), "stars")
         if tasks <= 1:
             break
         spent, links = links, written(_small_star(_large_star(stars)), "links")

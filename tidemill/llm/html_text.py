@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import mapped
+
 #: Tags without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is read to their end tag, or else to the end of the page, and is no text.
@@ -227,7 +229,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.transform(mapped, run, "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

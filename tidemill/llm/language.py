@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import is_held_out
+from tidemill.llm.common import is_held_out, mapped
 
 #: Bytes of a word read in one sequence; longer words are cut into sequences of this length.
 SPAN = 40
@@ -268,7 +268,7 @@ def identify(documents: DataFrame, model: Labeller | None, id_col: str = "doc_id
             )
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.transform(mapped, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import discard, split_by_keys, written
+from tidemill.llm.common import discard, mapped, split_by_keys, written
 
 SCALES = (1.0, 0.75, 0.5)
 RADIUS = 9
@@ -370,7 +370,7 @@ def _linked(found: DataFrame, classes: DataFrame, votes: int) -> DataFrame:
         if not t.num_rows:
             continue
         shared = spark.sparkContext.broadcast((t.column("class_id").to_numpy(), *_corners(t)))
-        some = written(found.mapInArrow(_agreeing(shared, votes), "q long, c long"), "links")
+        some = written(found.transform(mapped, _agreeing(shared, votes), "q long, c long"), "links")
         shared.destroy()
         links = some if links is None else links.unionByName(some)
     discard(asked)
@@ -396,7 +396,7 @@ def copies(media: DataFrame, id_col: str = "media_id", image_col: str = "image",
     possible, clear = split_by_keys(rows, "media_id", other.unionByName(again))
     firsts = possible.join(classes.select("sum", F.col("class_id").alias("media_id")), ["sum", "media_id"]).dropDuplicates(["sum", "media_id"])
     firsts = clear.where("media_id is not null").select("media_id", "image").unionByName(firsts.select("media_id", "image"))
-    found = written(firsts.mapInArrow(_describe, _ROWS), "corners")
+    found = written(firsts.transform(mapped, _describe, _ROWS), "corners")
 
     agreed = _linked(found, classes, votes)
     discard(found)
@@ -446,7 +446,7 @@ def rendered(vectors: DataFrame) -> DataFrame:
                 images.append(encode(np.clip(np.rint(image), 0, 255).astype(np.uint8)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(images, pa.binary())], names=["media_id", "image"])
 
-    return rows.mapInArrow(draw, "media_id long, image binary")
+    return rows.transform(mapped, draw, "media_id long, image binary")
 
 
 def op9_media_copies(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER, as_bytes, discard, numbered, split_by_keys, written
+from tidemill.llm.common import LOWER, as_bytes, discard, mapped, numbered, split_by_keys, written
 from tidemill.llm.graph import components
 
 K = 64
@@ -304,13 +304,13 @@ def _confirm(blocks: DataFrame, members: DataFrame, classes: DataFrame, docs: Da
     )
     brief = classes.select("sig", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("brief"))
     rows = held.unionByName(stream).join(brief, "sig").repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("indexed"))
-    near = written(rows.mapInArrow(_screen, "block long, salt int, indexed boolean, sig long, label long"), "near")
+    near = written(rows.transform(mapped, _screen, "block long, salt int, indexed boolean, sig long, label long"), "near")
     named = near.join(classes.select("sig", "rep"), "sig")
     ids = named.select("rep").distinct()
     asked, _ = split_by_keys(docs, "doc_id", ids)
     rows = named.withColumnRenamed("rep", "doc_id").join(asked, "doc_id").drop("doc_id")
     rows = rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("indexed"))
-    links = written(rows.mapInArrow(_verify(n, percent), "a long, b long"), "links")
+    links = written(rows.transform(mapped, _verify(n, percent), "a long, b long"), "links")
     discard(near)
     return links
 
@@ -330,7 +330,7 @@ def near_duplicates(
     if percent < 80:
         raise ValueError("sketches are cut for similarities of 0.8 and more")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"))
-    sketches = written(docs.mapInArrow(_sketches(n), "doc_id long, n_shingles long, sig long, sketch array<long>"), "sketches")
+    sketches = written(docs.transform(mapped, _sketches(n), "doc_id long, n_shingles long, sig long, sketch array<long>"), "sketches")
     worded = sketches.where("sig is not null")
     # only sets that come again have to be shuffled
     again = worded.groupBy("sig").count().where("count > 1").select("sig")

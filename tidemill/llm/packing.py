@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import as_bytes, written
+from tidemill.llm.common import as_bytes, mapped, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -117,7 +117,7 @@ def token_pieces(
     document is cut into pieces of ``capacity``, of which the first takes what is left over.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return docs.mapInArrow(_pieces(capacity, vocabulary), _PIECES)
+    return docs.transform(mapped, _pieces(capacity, vocabulary), _PIECES)
 
 
 class Plan:
@@ -255,7 +255,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "key": (at[:, 0] << 40) + at[:, 1], "first": at[:, 1], "times": at[:, 3], "sequence": at[:, 4], "offset": at[:, 5]
     }
     ranks = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    return salted.withColumn("at", (F.row_number().over(ranks) - 1).cast("long")).mapInArrow(
+    return salted.withColumn("at", (F.row_number().over(ranks) - 1).cast("long")).transform(mapped, 
         _deal(spark.sparkContext.broadcast(bases), spark.sparkContext.broadcast(table)),
         "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import crc_of_id, is_held_out
+from tidemill.llm.common import crc_of_id, is_held_out, mapped
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 #: Labelled rows that the network is fitted on, at most; the only bounded statistic here.
@@ -96,7 +96,7 @@ def _gather(batches):
 def word_vectors(documents: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit word vectors of all buckets, from every document. ``BUCKETS`` x ``DIM`` numbers reach the driver."""
     texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = texts.mapInArrow(_gather, "bucket int, n long, vector array<long>")
+    parts = texts.transform(mapped, _gather, "bucket int, n long, vector array<long>")
     sums = parts.groupBy("bucket").agg(*[F.sum(F.col("vector")[i]).alias(f"v{i}") for i in range(DIM)])
     out = np.zeros((BUCKETS, DIM), np.float32)
     for row in sums.toLocalIterator():
@@ -202,7 +202,7 @@ def fit(documents: DataFrame, labels: DataFrame, vectors, sample: int = SAMPLE,
                 [batch.column("id"), batch.column("y"), batch.column("crc"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "crc", "x"]
             )
 
-    got = rows.mapInArrow(features, "id long, y double, crc long, x array<double>").toArrow()
+    got = rows.transform(mapped, features, "id long, y double, crc long, x array<double>").toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable") if got.num_rows else np.empty(0, int)
     x = np.array(got.column("x").to_pylist()).reshape(got.num_rows, FEATURES)[order]
     y, crc = got.column("y").to_numpy()[order], got.column("crc").to_numpy()[order]
@@ -230,7 +230,7 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         _MEMO.clear()
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.transform(mapped, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(p >= THRESHOLD))
         _MEMO.clear()
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.transform(mapped, run, documents.schema)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import as_bytes, discard, numbered, split_by_keys, written
+from tidemill.llm.common import as_bytes, discard, mapped, numbered, split_by_keys, written
 
 LENGTH = 400
 GRAM = 32
@@ -337,7 +337,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, keep_first: bool = True
 
 def _level(pieces: DataFrame, length: int, gram: int, keep_first: bool, group: int, first: bool) -> tuple[DataFrame, DataFrame | None]:
     """Runs among ``pieces(key, at, doc_id, text)`` of texts, and the contexts left to longer grams, if any."""
-    every = written(pieces.mapInArrow(_stretch_rows(length, gram), _STRETCHES), "stretches")
+    every = written(pieces.transform(mapped, _stretch_rows(length, gram), _STRETCHES), "stretches")
     common = every.groupBy("anchor").agg(F.count("*").alias("c"), F.max("multi").alias("m")).where("c > 1 or m").select("anchor")
     kept = written(every.join(common, "anchor"), "shared")
     discard(every)
@@ -363,7 +363,7 @@ def _level(pieces: DataFrame, length: int, gram: int, keep_first: bool, group: i
     large = written(chosen.where("large").select("anchor").distinct(), "large")
     discard(alike)
     asked = split_by_keys(pieces, "key", wanted.select("key"))[0] if first else pieces
-    contexts = asked.join(wanted, ["key", "at"]).mapInArrow(_context_rows, "anchor long, key long, at long, doc_id long, text binary")
+    contexts = asked.join(wanted, ["key", "at"]).transform(mapped, _context_rows, "anchor long, key long, at long, doc_id long, text binary")
     if large.isEmpty():
         parts, rest = contexts, None
     else:
@@ -371,7 +371,7 @@ def _level(pieces: DataFrame, length: int, gram: int, keep_first: bool, group: i
         parts = contexts.join(large, "anchor", "left_anti")
         rest = contexts.join(large, "anchor", "left_semi").drop("anchor")
     sorted_rows = parts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "key", "at")
-    return outright.unionByName(sorted_rows.mapInArrow(_sorted_groups(length, keep_first), _RUN)), rest
+    return outright.unionByName(sorted_rows.transform(mapped, _sorted_groups(length, keep_first), _RUN)), rest
 
 
 def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -433,7 +433,7 @@ def repeated_bytes(
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends", "text"],
             )
 
-    return _with_spans(documents, length, keep_first, id_col, text_col, group).mapInArrow(
+    return _with_spans(documents, length, keep_first, id_col, text_col, group).transform(mapped, 
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, text string"
     )
 
@@ -466,7 +466,7 @@ def cut_later_copies(documents: DataFrame, length: int = LENGTH, id_col: str = "
             cols = [pa.array(texts, pa.string()) if c == text_col else pa.array([len(t) for t in texts], batch.column(c).type) if c == "n_chars" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([bool(t.strip()) for t in texts]))
 
-    cut = joined.where("__spans is not null").select(*names, "__spans").mapInArrow(run, kinds)
+    cut = joined.where("__spans is not null").select(*names, "__spans").transform(mapped, run, kinds)
     return whole.unionByName(cut)
 
 

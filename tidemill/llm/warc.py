@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import as_bytes, fresh_path, written
+from tidemill.llm.common import as_bytes, fresh_path, mapped, written
 
 CHUNK = 1 << 16
 #: Equal payloads from this size on are stored once.
@@ -215,12 +215,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     page = page.join(keepers, "sum", "left").select(
         "page_id", "url", "html", F.when(large, F.coalesce("keeper", "page_id")).otherwise(F.col("page_id")).alias("keeper")
     )
-    return written(page.mapInArrow(_write(folder), "archive string, n long"), "archives")
+    return written(page.transform(mapped, _write(folder), "archive string, n long"), "archives")
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """Records of the listed archives, each archive read once from front to back by one task."""
-    return archives.repartition(max(1, archives.count())).mapInArrow(_read(folder, payloads), _FULL if payloads else _ROWS)
+    return archives.repartition(max(1, archives.count())).transform(mapped, _read(folder, payloads), _FULL if payloads else _ROWS)
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
