@@ -312,11 +312,14 @@ _RUN = "key long, a long, b long"
 
 
 def _grams(length: int) -> list[int]:
-    """Gram lengths, from the first that anchors are taken from to a whole passage."""
+    """Gram lengths, from the first that anchors are taken from to a whole passage; what a passage has beside
+    its gram shrinks by four, so that an anchor's contexts reach less and less beyond what they share."""
+    rest = length - GRAM
     out = [GRAM]
-    while 4 * out[-1] < length:
-        out.append(4 * out[-1])
-    return [*out, length]
+    while rest >= 16:
+        rest //= 4
+        out.append(length - rest)
+    return out if out[-1] == length else [*out, length]
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, keep_first: bool = True, group: int = GROUP) -> DataFrame:
