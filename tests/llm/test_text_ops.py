@@ -5,6 +5,7 @@ import io
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -39,8 +40,7 @@ def test_ids_are_the_tokenizers_own():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["", " ", "a", "a  b", " a\n b \n\nc  ", "don't we'll  x", "ÄÖ ü ß  x", "1 2,3 4.5!! ??", "a\tb \t c", "日本 語\x1c x \x85y", "<|endoftext|> z", "é " * 50]
+    texts = ["a<|endoftext|><|endoftext|> b <|endoftext|>", "<|endoftext|", "x <|ENDOFTEXT|>", "", " ", "a", "a  b", " a\n b \n\nc  ", "don't we'll  x", "ÄÖ ü ß  x", "1 2,3 4.5!! ??", "a\tb \t c", "日本 語\x1c x \x85y", "<|endoftext|> z", "é " * 50]
     rng = random.Random(3)
     texts += ["".join(rng.choice(" \n\tabÉ1.,'　") for _ in range(200)) for _ in range(60)]
     e = packing.Encoder()
@@ -329,6 +329,8 @@ def test_archives_round_trip(spark, tmp_path):
     folder = f"file://{tmp_path}/warc"
     archives = warc.write_archives(pages, folder)
     got = {r.page_id: r for r in warc.read_archives(archives, folder, payloads=True).collect()}
+    bare = got.pop(None)  # a record of its own, named by no page
+    assert (bare.payload_bytes, bare.record_type, bare.refers_to, bytes(bare.payload)) == (4, "response", None, b"lost")
     assert sorted(got) == [1, 2, 3, 4, 5, 6, 9]
     for i, _, h in rows[:-1]:
         data = (h or "").encode()
@@ -337,6 +339,9 @@ def test_archives_round_trip(spark, tmp_path):
         kind = ("revisit", 9) if h is big and i != 9 else ("response", None)
         assert (r.record_type, r.refers_to) == kind and bytes(r.payload) == (data if kind[0] == "response" else b"")
     assert warc.read_archives(warc.write_archives(pages.where("page_id > 99"), folder), folder).count() == 0
+    same = spark.createDataFrame([(None, "u", big), (None, "u", big), (7, "u", big), (None, "u", big + "x"), (None, "u", big + "x")], "page_id long, url string, html string")
+    got = [(r.page_id or 0, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(same, folder), folder).collect()]
+    assert sorted(got, key=str) == sorted([(7, "response", None), *[(0, "revisit", 7)] * 2, *[(0, "response", None)] * 2], key=str)
 
 
 def test_broken_archives_are_refused():
@@ -344,7 +349,8 @@ def test_broken_archives_are_refused():
     two = warc.record("revisit", "u", 2, b"x" * 3000, 1)
     assert [r["head"]["warc-type"] for r in warc.records(io.BytesIO(one + two))] == ["response", "revisit"]
     raw = zlib.decompress(one, 31)
-    for bad in (one[:-20], one + b"junk", zlib.compress(raw.replace(b"xxxx", b"xxyx", 1), wbits=31), zlib.compress(raw[:-3], wbits=31)):
+    bomb = zlib.compress(raw + b"\0" * 10_000_000, wbits=31)  # what lies beyond the length is never inflated
+    for bad in (bomb, zlib.compress(b"WARC/1.1" + b"\0" * 10_000_000, wbits=31), one[:-20], one + b"junk", zlib.compress(raw.replace(b"xxxx", b"xxyx", 1), wbits=31), zlib.compress(raw[:-3], wbits=31)):
         with pytest.raises((warc.WarcError, zlib.error)):
             list(warc.records(io.BytesIO(bad)))
 
@@ -374,6 +380,13 @@ def test_base_phrases_against_brute_force(spark):
     assert sorted((r.n_base, r.n_words) for r in twice) == [(0, 1), (1, 3), (1, 3)]
 
 
+def test_licences_of_a_very_long_text(spark):
+    began = time.perf_counter()
+    (r,) = licenses.license_scan(_docs(spark, ["word some other under the mit license " * 45_000])).collect()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (315_000, 45_000, 3, 314_996)
+    assert time.perf_counter() - began < 30  # minutes, if rows took the text along
+
+
 # -- pages
 
 

@@ -118,31 +118,39 @@ def license_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = documents.sparkSession
     docs = documents.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), words(text_col).alias("w")
-    )
+    ).withColumn("n_words", F.size("w").cast("long"))
     n = F.size("w")
-    rolled = F.zip_with(F.zip_with("w", F.slice("w", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice("w", F.lit(3), n), lambda x, c: F.when(c.isNull(), F.lit(None).cast("long")).otherwise(_hash(x["a"], x["b"], c)))
-    grams = docs.select("row", "doc_id", "w", F.posexplode(F.concat(rolled, F.array(F.lit(0).cast("long")))).alias("p", "hash"))
+    # a gram takes its own words along, never the text (nor what is counted on it): rows stay small however long a text is
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rolled = F.zip_with(pairs, F.slice("w", F.lit(3), n), lambda x, c: F.struct(
+        F.when(c.isNull(), F.lit(None).cast("long")).otherwise(_hash(x["a"], x["b"], c)).alias("hash"), x["a"].alias("a"), x["b"].alias("b"), c.alias("c")))
+    none = F.lit(None).cast("string")
+    every = F.array(F.struct(F.lit(0).cast("long").alias("hash"), none.alias("a"), none.alias("b"), none.alias("c")))
+    grams = docs.select("row", "doc_id", "n_words", F.posexplode(F.concat(rolled, every)).alias("p", "g"))
+    grams = grams.select("row", "doc_id", "n_words", "p", F.col("g.hash").alias("hash"), *[F.col(f"g.{x}").alias(f"g_{x}") for x in "abc"])
     hits = grams.where("hash is not null").join(F.broadcast(templates(spark, phrases, passages)), "hash")
-    verified = hits.where("template = -1 or slice(w, p + 1, 3) = gram")
+    verified = hits.where("template = -1 or array(g_a, g_b, g_c) = gram")
     diagonals = verified.select(
-        "row", "doc_id", F.size("w").cast("long").alias("n_words"), "template", "label", "base", "size", "at",
+        "row", "doc_id", "n_words", "template", "label", "base", "size", "at",
         F.when(F.col("template") == _EVERY, F.lit(0)).otherwise(F.col("p") - F.col("at")).alias("diagonal"),
     )
     key = ["row", "doc_id", "n_words", "template", "label", "base", "size"]
-    votes = diagonals.groupBy(*key, "diagonal").agg(F.count("*").alias("votes"), F.collect_set("at").alias("ats"))
-    # merge neighbouring diagonals of passages; a phrase's diagonals stand for themselves
+    votes = diagonals.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("ats"))
+    whole = F.col("size") - GRAM + 1
+    out = [*key, F.size("ats").alias("votes"), F.col("diagonal").cast("long").alias("first"), F.col("diagonal").cast("long").alias("last")]
+    # a phrase's diagonals, and the row of the word count, stand for themselves
+    alone = votes.where(F.col("base") | (F.col("template") == _EVERY)).select(out).where((F.col("template") == _EVERY) | (F.col("votes") == whole))
+    # neighbouring diagonals of passages are merged
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     step = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(1 << 30))
-    starts = votes.withColumn("new", (F.col("base") | (step > SLACK)).cast("int"))
-    spans = starts.withColumn("span", F.sum("new").over(order))
+    starts = votes.where(~F.col("base") & (F.col("template") != _EVERY)).withColumn("new", (step > SLACK).cast("int"))
+    spans = starts.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = spans.groupBy(*key, "span").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"),
         F.min("diagonal").cast("long").alias("first"),
         F.max("diagonal").cast("long").alias("last"),
     )
-    whole = F.col("size") - GRAM + 1
-    enough = F.when(F.col("base"), F.col("votes") == whole).otherwise(F.col("votes") >= F.ceil(whole * COVER))
-    return merged.where((F.col("template") == _EVERY) | enough)
+    return alone.unionByName(merged.drop("span").where(F.col("votes") >= F.ceil(whole * COVER)))
 
 
 def license_scan(documents: DataFrame, **options) -> DataFrame:

@@ -9,6 +9,7 @@ the plan by their rank among the pieces of their length.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -35,8 +36,8 @@ class Encoder:
     """Ids of the public byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
 
     The ids are those of the ``tokenizers`` file of the same vocabulary (the tests compare the
-    two on whole texts); a text is encoded chunk by chunk and chunks seen before are looked up.
-    Strings of special tokens in a text are ordinary text.
+    two on whole texts); a text is encoded chunk by chunk and chunks seen before are looked up. The added
+    tokens that the file lists are taken out of a text first, as ``tokenizers`` does, and have one id each.
     """
 
     def __init__(self, path: str | None = None):
@@ -45,7 +46,12 @@ class Encoder:
         import public_tokenizers
         import tiktoken
 
-        with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
+        path = path or public_tokenizers.path(VOCABULARY)
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+            self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in json.load(f)["added_tokens"]}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+        with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
@@ -55,6 +61,11 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.split is not None and self.split.search(text):
+            return b"".join(self.added[part] if part in self.added else self._plain(part) for part in self.split.split(text) if part)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         chunks = _CUT.split(text)
         memo = self.memo
         out = [self._new(chunks[0])]
@@ -262,6 +273,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
+    """``token_pieces`` of every document, packed: null and empty texts are their end id, repeated rows and rows
+    without an id are packed like any others, an empty table gives an empty result, other columns are ignored."""
     return pack(token_pieces(documents, capacity, **options), capacity)
 
 

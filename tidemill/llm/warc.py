@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import as_bytes, fresh_path, mapped, written
+from tidemill.llm.common import as_bytes, discard, fresh_path, mapped, split_by_keys, written
 
 CHUNK = 1 << 16
+#: A record's header is no longer than this.
+HEADER_BYTES = 1 << 20
 #: Equal payloads from this size on are stored once.
 REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,7 +41,7 @@ def record(kind: str, uri: str, page_id, payload: bytes, refers_to=None) -> byte
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>" if page_id is None else f"WARC-Record-ID: <urn:page:{page_id}>",
         "WARC-Target-URI: " + uri.replace("\r", "%0D").replace("\n", "%0A"),
         "WARC-Date: 1970-01-01T00:00:00Z",
         "Content-Type: application/http; msgtype=response",
@@ -82,6 +84,38 @@ def members(stream) -> Iterator[Iterator[bytes]]:
         rest = left[0] or stream.read(CHUNK)
 
 
+class _Framed:
+    """A member's bytes, taken up to a mark or by their number; nothing beyond that is inflated but a chunk."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, bytearray()
+
+    def until(self, mark: bytes) -> bytes:
+        looked = 0
+        while (at := self.held.find(mark, looked)) < 0:
+            looked = max(0, len(self.held) - len(mark) + 1)
+            part = next(self.chunks, None)
+            if part is None or len(self.held) > HEADER_BYTES:
+                raise WarcError("no WARC header")
+            self.held += part
+        top = bytes(self.held[:at])
+        del self.held[: at + len(mark)]
+        return top
+
+    def take(self, size: int) -> bytes:
+        while len(self.held) < size:
+            part = next(self.chunks, None)
+            if part is None:
+                raise WarcError("a record's length and its bytes differ")
+            self.held += part
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        return out
+
+    def ended(self) -> bool:
+        return not self.held and next(self.chunks, None) is None
+
+
 def _headers(lines: bytes) -> dict[str, str]:
     out = {}
     for line in lines.split(b"\r\n")[1:]:
@@ -93,16 +127,13 @@ def _headers(lines: bytes) -> dict[str, str]:
 def records(stream) -> Iterator[dict]:
     """Headers, HTTP headers and payload of every record; raises ``WarcError`` on a broken one."""
     for chunks in members(stream):
-        data = bytearray()
-        for part in chunks:
-            data += part
-        top, mark, body = bytes(data).partition(b"\r\n\r\n")
-        if not mark or not top.startswith(b"WARC/1."):
+        member = _Framed(chunks)
+        top = member.until(b"\r\n\r\n")
+        if not top.startswith(b"WARC/1."):
             raise WarcError("no WARC header")
         head = _headers(top)
-        size = int(head["content-length"])
-        block = body[:size]
-        if len(block) != size or body[size:] != b"\r\n\r\n":
+        block = member.take(int(head["content-length"]))
+        if member.take(4) != b"\r\n\r\n" or not member.ended():
             raise WarcError("a record's length and its bytes differ")
         if head.get("warc-block-digest", _digest(block)) != _digest(block):
             raise WarcError("a block's digest differs")
@@ -130,7 +161,7 @@ def _write(folder: str):
         for batch in batches:
             for row in batch.to_pylist():
                 out = out or store.open_output_stream(name, compression=None)
-                same = row["page_id"] == row["keeper"]
+                same = row["keeper"] is None or row["page_id"] == row["keeper"]
                 kind = "response" if same else "revisit"
                 out.write(record(kind, row["url"] or "", row["page_id"], row["html"], row["keeper"]))
                 n += 1
@@ -146,7 +177,7 @@ def _hex(digest: str) -> str:
 
 
 def _page(urn: str | None):
-    return None if urn is None else int(urn.removeprefix("<urn:page:").removesuffix(">"))
+    return None if urn is None or not urn.startswith("<urn:page:") else int(urn.removeprefix("<urn:page:").removesuffix(">"))
 
 
 _ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -200,22 +231,22 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write a record per page below ``folder`` and return the archives (``archive, n``), one per task.
 
     Among equal payloads of at least ``REVISIT_BYTES`` the page with the largest id is the response
-    and the others revisit it. Null html is an empty payload; rows without an id are left out, since
-    a record is named by it; rows that repeat an id and a payload are each a record. A retried task
-    writes an archive of another name, and only archives of tasks that ended are listed.
+    and the others revisit it. Null html is an empty payload. A row without an id gets a record with a name
+    of its own: a revisit where a page with an id has its payload, else a response. Rows that repeat an id
+    and a payload are each a record. A retried task writes an archive of another name, and only archives of
+    tasks that ended are listed. Only pages whose payload comes again are shuffled.
     """
-    page = pages.where(F.col(id_col).isNotNull()).select(
+    page = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), as_bytes(html_col).alias("html")
     )
-    page = page.withColumn("sum", F.sha1("html"))
-    large = F.length("html") >= REVISIT_BYTES
-    keepers = (
-        page.where(large).groupBy("sum").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sum", "keeper")
-    )
-    page = page.join(keepers, "sum", "left").select(
-        "page_id", "url", "html", F.when(large, F.coalesce("keeper", "page_id")).otherwise(F.col("page_id")).alias("keeper")
-    )
-    return written(page.transform(mapped, _write(folder), "archive string, n long"), "archives")
+    page = page.withColumn("sum", F.when(F.length("html") >= REVISIT_BYTES, F.sha1("html")))
+    keepers = page.where("sum is not null").groupBy("sum").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    keepers = written(keepers.where("n > 1 and keeper is not null").select("sum", "keeper"), "keepers")
+    possible, clear = split_by_keys(page, "sum", keepers.select("sum"))
+    named = possible.join(keepers, "sum", "left").unionByName(clear.withColumn("keeper", F.lit(None).cast("long")))
+    out = written(named.select("page_id", "url", "html", "keeper").transform(mapped, _write(folder), "archive string, n long"), "archives")
+    discard(keepers)
+    return out
 
 
 def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
