@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -440,6 +441,42 @@ def test_scores_select_where_marks_and_scores_disagree():
         assert html_text.main_text(page).split() == words, part
 
 
+def test_state_classes_and_deep_nesting():
+    body = "<p>A long sentence, with commas, and a stop.</p><p>And one more, of it.</p>"
+    for name in ("content has-sidebar", "post no-comments", "has-cookie-notice", "with-menu without-footer"):
+        assert html_text.main_text(f"<div class='{name}'>{body}</div>") == "A long sentence, with commas, and a stop. And one more, of it.", name
+    assert html_text.main_text(f"<div class=content>{body}<div class='post-comments'>Nice, very nice!</div></div>").endswith("of it.")
+    tracemalloc.start()
+    text = html_text.main_text("<div>" * 20_000 + "deep, text." + "</div>x" * 20_000)
+    assert text.startswith("deep, text.") and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_path_scores_against_brute_force():
+    """Without article tags and class names the threshold alone decides; scores are held against a plain version."""
+    rng = random.Random(12)
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 30)):
+            tag = rng.choice(["p", "li", "td", "div", "section", "dd"])
+            words = _prose(rng, rng.choice([1, 3, 20, 60]))
+            parts.append(f"<{tag}>{words}{rng.choice(['', '.', ', and so.'])}</{tag}>")
+        blocks = html_text.runs("".join(parts))
+        ratio = {}
+        for p in {b.path for b in blocks}:
+            own = [b for b in blocks if b.path == p]
+            ratio[p] = (sum(len(b.text) for b in own) / len(own), sum(len(re.findall(r"[.,;:!?]", b.text)) for b in own) / len(own))
+        rows = [ratio[b.path] for b in blocks]
+        padded = [rows[0], *rows, rows[-1]]
+        fused = []
+        for i in range(1, len(padded) - 1):
+            length, marks = (0.25 * padded[i - 1][k] + 0.5 * padded[i][k] + 0.25 * padded[i + 1][k] for k in (0, 1))
+            fused.append(np.log1p(length) * (1 + np.log1p(marks)))
+        limit = min(np.mean(fused) - 0.5 * np.std(fused), 0.5 * max(fused))
+        want = [b.text for b in blocks if np.mean([f for f, c in zip(fused, blocks, strict=True) if c.path == b.path]) >= limit]
+        assert [b.text for b in html_text.select(blocks)] == want
+
+
 def test_pages_of_odd_tables(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, None, PAGES[2][0], "x"), (None, "u", "<" * 2000 + "a" * 5000, "x")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id or -1, r.text[:5], r.n_chars == len(r.text)) for r in html_text.extract(pages).collect())

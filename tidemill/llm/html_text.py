@@ -30,6 +30,7 @@ HIDDEN = frozenset("noscript template svg math object canvas".split())
 EMBEDS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 #: Their text is never the article's.
 APART = frozenset("nav header footer aside form button select option dialog menu label fieldset legend head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that begin and end a block.
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -43,6 +44,8 @@ ASIDE_WORDS = re.compile(
     r"tags?|trending|toc|skip)(?=$|[\s_-])",
     re.I,
 )
+#: Tokens that say what a page has or lacks, not what the element is.
+_STATE = re.compile(r"(?<!\S)(?:has|no|non|not|with|without|is|hide|hides|show|shows|enable|disable)[-_]\S*", re.I)
 ARTICLE_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|post|entry|story|content|main|body|text)(?=$|[\s_-])", re.I)
 #: How much a path's score rises where all of its text is marked as an article's.
 MARKED = 2.0
@@ -62,16 +65,17 @@ _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 class Run:
     """One block of text: its path, its text, how much of it is in links, and how it is marked."""
 
-    __slots__ = ("article", "aside", "linked", "path", "text")
+    __slots__ = ("article", "aside", "heading", "linked", "path", "text")
 
-    def __init__(self, path: str, text: str, linked: int, aside: bool, article: bool):
-        self.path, self.text, self.linked, self.aside, self.article = path, text, linked, aside, article
+    def __init__(self, path: int, text: str, linked: int, aside: bool, article: bool, heading: bool):
+        self.path, self.text, self.linked, self.aside, self.article, self.heading = path, text, linked, aside, article, heading
 
 
 def runs(page: str) -> list[Run]:
     """The blocks of a page in order, references decoded and white space made single spaces."""
     out: list[Run] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, aside, article
+    stack: list[tuple] = [("", False, False, 0, False, "")]  # tag, aside, article, path, in a link, last block tag
+    paths: dict[tuple[int, str], int] = {}  # a path is its parent and a tag, so that deep pages take no more room than their tags
     parts: list[str] = []
     linked = 0
     hidden_at: dict[int, tuple] = {}  # place in the stack of an open hidden element: what had been read before it
@@ -81,8 +85,8 @@ def runs(page: str) -> list[Run]:
         if parts:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                path = "/".join(t for t, _, _ in stack if t in BLOCK or t == "")
-                out.append(Run(path, text, linked, stack[-1][1], stack[-1][2]))
+                _, aside, article, path, _, block = stack[-1]
+                out.append(Run(path, text, linked, aside, article, block in HEADINGS))
             parts = []  # the old list may be wanted at a hidden element's end tag
         linked = 0
 
@@ -90,7 +94,7 @@ def runs(page: str) -> list[Run]:
         nonlocal linked
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if any(t == "a" for t, _, _ in stack):
+        if stack[-1][4]:
             linked += len(text.strip())
 
     at, n = 0, len(page)
@@ -165,12 +169,16 @@ def runs(page: str) -> list[Run]:
                     marks += " " + value
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     hidden = True
+        marks = _STATE.sub(" ", marks)
         inside = stack[-1][2]
         # a header inside the article is its heading; a word of its class can still set it apart
         apart = tag in APART and not (tag == "header" and inside)
         marked = bool(marks and ASIDE_WORDS.search(marks)) and tag not in ("article", "main", "body", "html")
         article = inside or tag in ("article", "main") or bool(marks and not marked and ARTICLE_WORDS.search(marks))
-        stack.append((tag, stack[-1][1] or apart or marked or hidden, article))
+        _, aside, _, path, link, block = stack[-1]
+        if tag in BLOCK:
+            path, block = paths.setdefault((path, tag), len(paths) + 1), tag
+        stack.append((tag, aside or apart or marked or hidden, article, path, link or tag == "a", block))
     flush()
     return out
 
@@ -180,7 +188,7 @@ def select(blocks: list[Run]) -> list[Run]:
     open_blocks = [b for b in blocks if not b.aside]
     if not open_blocks:
         return []
-    sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0.0])
+    sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0, 0.0])
     for b in open_blocks:
         s = sums[b.path]
         s[0] += len(b.text)
@@ -197,13 +205,13 @@ def select(blocks: list[Run]) -> list[Run]:
     fused = np.log1p(smooth(length)) * (1 + np.log1p(smooth(marks))) * (1 - links)
     # a path is content unless it lies clearly below the page: half a spread under the mean, and mostly links or bare of marks
     limit = min(fused.mean() - 0.5 * fused.std(), 0.5 * fused.max())
-    by_path: dict[str, list[float]] = defaultdict(list)
+    by_path: dict[int, list[float]] = defaultdict(list)
     for b, f in zip(open_blocks, fused * (1 + MARKED * inside), strict=True):
         by_path[b.path].append(f)
     good = {p for p, f in by_path.items() if np.mean(f) >= limit}
     return [
         b for b in open_blocks
-        if b.linked < 0.6 * len(b.text) and (b.path in good or re.search(r"/h[1-6]$", b.path))
+        if b.linked < 0.6 * len(b.text) and (b.path in good or b.heading)
     ]
 
 
