@@ -48,12 +48,36 @@ def test_gradients_of_the_recurrent_network():
         assert abs((up - down) / (2 * step) - g[at]) < 0.03 * abs(g[at]) + 2e-4
 
 
+def test_windows_carry_state_and_label_each_position_once():
+    model = language.Labeller(["a", "b"])
+    data = language.letters("Straße " * 300 + "ende 12 x½")
+    assert data.startswith(b" stra") and data.endswith(b" ende x ")
+    parts = language.windows(data)
+    assert b"".join(d[a:b] for d, a, b in parts) == data
+    # a window's label of a position is what the whole sequence gives it, up to what lies beyond the context
+    whole, _ = model.label([data])
+    own = np.concatenate([model.label([d])[0][a:b, 0] for d, a, b in parts])
+    assert np.abs(own - whole[:, 0]).max() < 1e-3
+    seen = np.frombuffer(data, np.uint8) != 32
+    p, n = model.pooled(["", "Straße " * 300 + "ende 12 x½", "1 2"])
+    assert n.tolist() == [0, seen.sum(), 0] and np.abs(p[1] - whole[seen, 0].mean(0)).max() < 1e-3
+    alone, joined = model.label([b" aaa "])[0][1:4, 0], model.label([b" zz aaa zz "])[0][4:7, 0]
+    assert np.abs(alone - joined).max() > 1e-6  # the words around count
+
+
 @needs_data
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{HERE}/documents.parquet")
     model = language.learn(docs, steps=200)
-    rows = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'").collect()
+    rows = language.identify(docs, model).join(docs.select("doc_id", "lang", F.length("text").alias("n")), "doc_id").where("held_out and lang_pred <> 'und'").collect()
     assert len(rows) > 100 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+    short = [r for r in rows if r.n < 100]
+    assert len(short) > 3 and np.mean([r.lang == r.lang_pred for r in short]) > 0.9
+    marks = spark.createDataFrame([(1, "½ ² Ⅷ 7"), (2, "½x")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in language.identify(marks, model).collect()] == [True, False]
+    # rows that share an id with a null text, and a hot id, teach like any others
+    again = docs.select("doc_id", "text", "lang").limit(200).unionByName(docs.selectExpr("doc_id", "cast(null as string) as text", "lang").limit(200)).unionByName(docs.selectExpr("cast(7 as long) as doc_id", "text", "lang").limit(50))
+    assert language.learn(again, steps=2).languages == sorted({r.lang for r in docs.limit(200).collect() if r.lang})
     odd = spark.createDataFrame([(1, None, "de"), (2, "", "x"), (3, "12 %%", "x"), (3, rows and "der und die das ist nicht schön", None), (None, "a" * 5000, None)], "doc_id long, text string, lang string")
     got = [(r.lang_pred == "und", r.score == 0) for r in language.identify(odd, model).collect()]
     assert got == [(True, True)] * 3 + [(False, False)] * 2

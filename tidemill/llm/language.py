@@ -1,19 +1,19 @@
 """Language of a text from a bidirectional gated recurrent network over its bytes.
 
-Each word (run of letters, lower-cased) is a byte sequence between two boundary bytes. One
-network reads it forwards, one backwards, and their joined states label every byte position with
-probabilities of the languages. A document's probability is the mean over its positions. As the
-states begin anew at each word, equal words have equal labels: a word is labelled once per batch
-of documents and counted as often as it occurs, and whole texts cost little more than their
-distinct words.
-
-The network is written in numpy and trained by backpropagation through time.
+A text is lower-cased and becomes its runs of letters, joined by single spaces, as UTF-8 bytes. It is
+read in windows of ``SPAN`` bytes and ``CONTEXT`` more on either side, so that the state goes from word
+to word and no position is labelled without what stands around it. One network reads a window forwards,
+one backwards; their joined states label every position with probabilities of the languages. A
+document's probability is the mean over all its letters' positions, each of which is in one window's
+middle. The rest of a text (digits, marks) has no label.
+
+The unit has one gate: ``h = z h + (1 - z) c`` with ``z`` and ``c`` from the byte and the state before. It
+is written in numpy and trained by backpropagation through time.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,74 +22,86 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import is_held_out, mapped
 
-#: Bytes of a word read in one sequence; longer words are cut into sequences of this length.
-SPAN = 40
-EMBED, HIDDEN = 16, 24
-#: Rows per language and bytes per row that training may see; whole texts are predicted.
-SAMPLE, SAMPLE_BYTES = 600, 3000
-STEPS, BATCH = 420, 512
-MEMO = 300_000
+#: Bytes that a window labels, and bytes of context that it reads before and after them.
+SPAN, CONTEXT = 448, 32
+EMBED, HIDDEN = 16, 16
+#: Rows per language that training may see, and windows of ``TRAIN_SPAN`` bytes, from anywhere in the text, that each gives.
+SAMPLE, PER_ROW, TRAIN_SPAN = 600, 24, 80
+STEPS, BATCH = 420, 384
+#: Windows that are labelled at once.
+AT_ONCE = 256
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters; what the pattern takes for letters besides (as a half, or a square) is none."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
-def sequences(word: str) -> list[bytes]:
-    data = b" " + word.encode("utf-8", "surrogatepass") + b" "
-    return [data[i : i + SPAN] for i in range(0, len(data), SPAN)]
+def letters(text: str) -> bytes:
+    """The bytes that the network reads: words with a space before and after each; empty without words."""
+    found = words(text)
+    return f" {' '.join(found)} ".encode("utf-8", "surrogatepass") if found else b""
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def windows(data: bytes) -> list[tuple[bytes, int, int]]:
+    """(bytes, first, end) of every window: the positions from first to end are its to label."""
+    out = []
+    for i in range(0, len(data), SPAN):
+        a = max(0, i - CONTEXT)
+        out.append((data[a : i + SPAN + CONTEXT], i - a, min(i + SPAN, len(data)) - a))
+    return out
 
 
 class Gru:
-    """One direction. Weights: input table ``g`` (256 x 3H, embedding times input weights), recurrent ``u``, bias ``b``."""
+    """One direction. Weights: embeddings ``e``, input weights ``w``, recurrent ``u``, bias ``b``; gate first, then candidate."""
 
     def __init__(self, rng):
         self.e = rng.normal(0, 0.3, (256, EMBED)).astype(np.float32)
-        self.w = rng.normal(0, EMBED**-0.5, (EMBED, 3 * HIDDEN)).astype(np.float32)
-        self.u = rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32)
-        self.b = np.zeros(3 * HIDDEN, np.float32)
+        self.w = rng.normal(0, EMBED**-0.5, (EMBED, 2 * HIDDEN)).astype(np.float32)
+        self.u = rng.normal(0, HIDDEN**-0.5, (HIDDEN, 2 * HIDDEN)).astype(np.float32)
+        self.b = np.zeros(2 * HIDDEN, np.float32)
 
     def parameters(self):
         return [self.e, self.w, self.u, self.b]
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         """States (T, B, H) for bytes (T, B); a masked position keeps the state before it."""
-        table = self.e @ self.w + self.b
+        # the gate's logistic function as a hyperbolic tangent of half its input: one function for all columns
+        half = np.concatenate([np.full(HIDDEN, 0.5, np.float32), np.ones(HIDDEN, np.float32)])
+        table, u = (self.e @ self.w + self.b) * half, self.u * half
         h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        states, tape = np.empty((*x.shape, HIDDEN), np.float32), []
+        states, tape, whole = np.empty((*x.shape, HIDDEN), np.float32), [], mask.all(1)
         for t in range(len(x)):
-            g = table[x[t]]
-            a = h @ self.u
-            zr = _sigmoid(g[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = np.tanh(g[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-            m = mask[t][:, None]
-            new = np.where(m, (1 - z) * c + z * h, h)
+            g = h @ u
+            g += table.take(x[t], axis=0)
+            np.tanh(g, out=g)
+            z, c = 0.5 * g[:, :HIDDEN] + np.float32(0.5), g[:, HIDDEN:]
+            new = h - c
+            new *= z
+            new += c
+            if not whole[t]:
+                new = np.where(mask[t][:, None], new, h)
             if keep:
-                tape.append((h, z, r, c, a[:, 2 * HIDDEN :]))
+                tape.append((h, z, c))
             states[t] = h = new
         return states, tape
 
     def backward(self, x, mask, tape, out: np.ndarray):
         """Gradients of the parameters, from the gradient ``out`` of every state."""
-        gt, gu = np.zeros((256, 3 * HIDDEN), np.float32), np.zeros_like(self.u)
+        gt, gu = np.zeros((256, 2 * HIDDEN), np.float32), np.zeros_like(self.u)
         dh = np.zeros_like(out[0])
         for t in range(len(x) - 1, -1, -1):
-            h, z, r, c, a = tape[t]
+            h, z, c = tape[t]
             m = mask[t][:, None]
             d = (dh + out[t]) * m
             rest = (dh + out[t]) * ~m
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (h - c) * z * (1 - z)
-            dr = dc * a * r * (1 - r)
-            da = np.concatenate([dz, dr, dc * r], axis=1)
-            np.add.at(gt, x[t], np.concatenate([dz, dr, dc], axis=1))
+            da = np.concatenate([d * (h - c) * z * (1 - z), d * (1 - z) * (1 - c * c)], axis=1)
+            np.add.at(gt, x[t], da)
             gu += h.T @ da
             dh = rest + d * z + da @ self.u.T
         return [gt @ self.w.T, self.e.T @ gt, gu, gt.sum(0)]
@@ -119,10 +131,42 @@ class Labeller:
     def label(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities (T, B, languages) of every position, and which positions exist."""
         x, mask = self.padded(rows)
-        s, _, _ = self._states(x, mask)
-        z = s @ self.v + self.c
-        p = np.exp(z - z.max(2, keepdims=True))
-        return p / p.sum(2, keepdims=True), mask
+        f, _ = self.ahead.forward(x, mask)
+        b, _ = self.back.forward(x[::-1], mask[::-1])
+        z = f @ self.v[:HIDDEN]
+        z += (b @ self.v[HIDDEN:])[::-1]
+        z += self.c
+        if (np.abs(self.v).sum(0) + np.abs(self.c)).max() > 40:  # states lie between -1 and 1: else no logit overflows
+            z -= z.max(2, keepdims=True)
+        p = np.exp(z, out=z)
+        p /= (p @ np.ones(len(self.c), np.float32))[:, :, None]
+        return p, mask
+
+    def pooled(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean probabilities over each text's letters, and how many positions they are."""
+        out, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        held: list[tuple[bytes, int, int, int]] = []
+
+        def settle():
+            held.sort(key=lambda r: len(r[0]))
+            for i in range(0, len(held), AT_ONCE):
+                part = held[i : i + AT_ONCE]
+                rows = [r[0] for r in part]
+                p, mask = self.label(rows)
+                at = np.arange(len(p))[:, None]
+                own = (self.padded(rows)[0] != 32) & mask & (at >= np.array([r[1] for r in part])) & (at < np.array([r[2] for r in part]))
+                who = np.array([r[3] for r in part])
+                np.add.at(out, who, np.einsum("tbl,tb->bl", p, own.astype(np.float32)))
+                np.add.at(n, who, own.sum(0))
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for w in windows(letters(text)):
+                held.append((*w, k))
+                if len(held) >= 8 * AT_ONCE:
+                    settle()
+        settle()
+        return out / np.maximum(n, 1)[:, None], n
 
     def train(self, rows: list[bytes], truth: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 3) -> Labeller:
         rng = np.random.default_rng(seed)
@@ -154,87 +198,46 @@ class Labeller:
         return self
 
 
-class _Memo:
-    """Summed position probabilities and lengths of the words seen lately."""
-
-    def __init__(self, model: Labeller):
-        self.model, self.at, self.rows = model, {}, np.empty((0, len(model.languages) + 1), np.float32)
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.at) + len(new) > MEMO:
-            self.at, self.rows = {}, self.rows[:0]
-        parts = [(s, k) for k, w in enumerate(new) for s in sequences(w)]
-        parts.sort(key=lambda x: len(x[0]))
-        out = np.zeros((len(new), self.rows.shape[1]), np.float32)
-        for i in range(0, len(parts), 2048):
-            p, mask = self.model.label([s for s, _ in parts[i : i + 2048]])
-            owner = np.array([k for _, k in parts[i : i + 2048]])
-            np.add.at(out[:, :-1], owner, (p * mask[:, :, None]).sum(0))
-            np.add.at(out[:, -1], owner, mask.sum(0))
-        first = len(self.rows)
-        self.at.update({w: first + k for k, w in enumerate(new)})
-        self.rows = np.concatenate([self.rows, out])
-
-    def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean position probabilities of each text, and how many positions it has."""
-        out = np.zeros((len(texts), self.rows.shape[1]))
-        held: list[tuple[int, Counter]] = []
-        fresh: dict[str, None] = {}
-
-        def settle():
-            if fresh:
-                lost = len(self.at) + len(fresh) > MEMO
-                if lost:  # the memo starts anew with all that the waiting texts need
-                    fresh.update(dict.fromkeys(w for _, c in held for w in c))
-                self.learn(list(fresh))
-            for k, c in held:
-                at = np.fromiter((self.at[w] for w in c), np.int64, len(c))
-                out[k] += np.fromiter(c.values(), np.float64, len(c)) @ self.rows[at]
-            held.clear()
-            fresh.clear()
-
-        for k, text in enumerate(texts):
-            c = Counter(words(text))
-            if c:
-                held.append((k, c))
-                fresh.update(dict.fromkeys(w for w in c if w not in self.at))
-                if len(fresh) >= 20_000:
-                    settle()
-        settle()
-        n = out[:, -1]
-        return out[:, :-1] / np.maximum(n, 1)[:, None], n
+def _drawn(batches):
+    """Windows from anywhere in each row's text; the row's text decides which."""
+    for batch in batches:
+        langs, found = [], []
+        for lang, seed, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist(), batch.column("text"), strict=True):
+            data = letters(text.as_py())
+            rng = np.random.default_rng(seed % 2**63)
+            for i in rng.integers(0, max(1, len(data) - TRAIN_SPAN + 1), min(PER_ROW, -(-len(data) // TRAIN_SPAN))).tolist():
+                langs.append(lang)
+                found.append(data[i : i + TRAIN_SPAN])
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
 
 
 def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, steps: int = STEPS) -> Labeller | None:
-    """Train on at most ``sample`` rows of each language, whose ids are not held out; None without any."""
+    """Train on at most ``sample`` rows of each language, whose ids are not held out; None without any.
+
+    Rows without text or language teach nothing; rows equal in id, language and text are one. The driver
+    gets ``PER_ROW`` windows of a chosen row at most, from its whole text.
+    """
     known = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~is_held_out(id_col))
-    ids = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("id", "lang").distinct()
-    texts = documents.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_BYTES).alias("text"))
-    got = texts.join(F.broadcast(chosen), ["id", "lang"]).orderBy("lang", "id", "text").collect()
-    languages = sorted({r.lang for r in got})
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "t")
+    chosen = known.select("id", "lang", "t").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    # names of chosen rows are what is broadcast; equal rows meet before they are shuffled
+    chosen = chosen.select(F.col("id").alias("i"), F.col("lang").alias("l"), F.col("t").alias("u")).distinct()
+    rows = known.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")) & (F.col("t") == F.col("u")))
+    rows = rows.groupBy("id", "lang", "t").agg(F.first("text").alias("text")).select("lang", "t", "text")
+    got = rows.transform(mapped, _drawn, "lang string, window binary").toArrow()
+    pairs = sorted(zip(got.column("lang").to_pylist(), got.column("window").to_pylist(), strict=True))
+    languages = sorted({lang for lang, _ in pairs})
     if not languages:
         return None
-    rows, truth = [], []
-    for r in got:
-        own = [s for w in words(r.text) for s in sequences(w)]
-        rows += own
-        truth += [languages.index(r.lang)] * len(own)
-    if not rows:
-        return None
-    # every language alike: the same number of sequences, drawn anew
-    truth, rng = np.array(truth), np.random.default_rng(1)
-    each = [rng.choice(np.flatnonzero(truth == k), 20_000) for k in range(len(languages)) if (truth == k).any()]
-    pick = np.concatenate(each)
-    return Labeller(languages).train([rows[i] for i in pick], truth[pick], steps)
-
-
-_MEMOS: dict[int, _Memo] = {}
+    # every language alike: the same number of windows, drawn anew
+    truth, rng = np.array([languages.index(lang) for lang, _ in pairs]), np.random.default_rng(1)
+    pick = np.concatenate([rng.choice(np.flatnonzero(truth == k), 10_000) for k in range(len(languages))])
+    return Labeller(languages).train([pairs[i][1] for i in pick], truth[pick], steps)
 
 
 def identify(documents: DataFrame, model: Labeller | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, und``-marked predictions for every row.
+    """``doc_id, held_out, lang_pred, score`` for every row.
 
     ``lang_pred`` is ``und`` with score 0 where the text is null or has no letters, or no model
     could be trained. Whole texts are read; rows that repeat an id are predicted by their own text.
@@ -242,20 +245,14 @@ def identify(documents: DataFrame, model: Labeller | None, id_col: str = "doc_id
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        if shared.value is None:
-            memo = None
-        else:
-            memo = _MEMOS.get(id(shared.value))
-            if memo is None:
-                _MEMOS.clear()
-                memo = _MEMOS[id(shared.value)] = _Memo(shared.value)
+        model = shared.value
         for batch in batches:
             n = batch.num_rows
-            if memo is None:
+            if model is None:
                 p, seen, names = np.zeros((n, 1)), np.zeros(n), ["und"]
             else:
-                p, seen = memo.probabilities([x.as_py() for x in batch.column(2)])
-                names = memo.model.languages
+                p, seen = model.pooled([x.as_py() for x in batch.column(2)])
+                names = model.languages
             best = p.argmax(1)
             yield pa.RecordBatch.from_arrays(
                 [
