@@ -296,6 +296,10 @@ def test_batches_append_with_routes(spark, tmp_path):
     with pytest.raises(Exception, match="invalid payload of e"):
         ledger.append(batch.withColumn("payload_json", F.lit('{"k": "7"}')), "id")
     assert ledger.events().count() == 10
+    bad = Ledger(spark, f"file://{tmp_path}/bad", model.define(events={"e": obj(k=INTEGER)}, queues={"q": obj(other=INTEGER)}).register(routes=(Route("e", "q", 0, 5),)))
+    with pytest.raises(Exception, match="invalid payload of q"):  # work that no handler could take is never made
+        bad.append(batch, "id")
+    assert bad.events().count() == 0 and bad.work().count() == 0
     ledger.store.compact()
     assert ledger.events().count() == 10 and ledger.work().count() == 10
     ledger.close()

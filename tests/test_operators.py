@@ -52,6 +52,15 @@ def test_numbers_are_dense_over_several_ranges(spark, monkeypatch):
     assert append.numbered(df.where("id < 0"), "k", "id").count() == 0
 
 
+def test_numbers_over_very_many_ranges_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(append, "ROWS_PER_TASK", 1)
+    for most in (append.BROADCAST_RANGES, 10):
+        monkeypatch.setattr(append, "BROADCAST_RANGES", most)
+        df = spark.range(1500).select((F.col("id") % 2).alias("k"), F.lit("x").alias("t"), "id")
+        got = append.numbered(df, "k", "t").orderBy("n").collect()
+        assert [r.n for r in got] == list(range(1, 1501)) and [r.k for r in got] == [0] * 750 + [1] * 750
+
+
 def test_dedupe_with_null_keys_and_hot_keys(spark):
     rows = [(i, None if i % 5 == 0 else "hot" if i % 2 else f"k{i % 3}") for i in range(60)]
     df = spark.createDataFrame(rows, "event_id long, dedupe_key string")

@@ -267,7 +267,8 @@ class Ledger:
         """Append ``batch(event_name, payload_json[, dedupe_key])`` in the order of its column ``order``.
 
         The declared routes make the work; events with Python handlers are refused, since those see
-        what single events did before them. Validation, dedupe, ids and work are all distributed.
+        what single events did before them. Validation (of events and of the work they make), dedupe, ids and
+        work are all distributed; a row that doesn't fit fails the call, and nothing is appended.
         """
         if self.model.on_event:
             raise ValueError("a batch can't run Python event handlers: declare routes or emit single events")
@@ -285,7 +286,7 @@ class Ledger:
             folder = store.write("events", events)
             stored = self.spark.read.schema(tables.EVENTS).parquet(f"{store.path}/{folder}")
             count, top = stored.agg(F.count("*"), F.max("event_id")).first()
-            work = append.materialized(stored, self.model.routes, base.next_work_id)
+            work = append.validated(append.materialized(stored, self.model.routes, base.next_work_id), self.model.queues, "queue_name")
             made = store.write(
                 "work",
                 work.withColumns({"seq": F.lit(base.next_seq), "attempt": F.lit(0), "dead": F.lit(0), "gone": F.lit(False), **{c: F.lit(None) for c in ("lease_id", "lease_acquired_at_ms", "lease_expires_at_ms", "last_error")}}),

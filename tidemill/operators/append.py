@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -10,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.schema import Schema, fits_column
 
-#: Rows numbered by one task, about; the bounds between tasks are a few quantiles of the key.
+#: Rows numbered by one task, about.
 ROWS_PER_TASK = 1_000_000
+#: Ranges (16 bytes each) whose first numbers are broadcast; more are joined.
+BROADCAST_RANGES = 100_000
 
 
 def epoch_ms(ts: Column) -> Column:
@@ -22,27 +26,38 @@ def epoch_ms(ts: Column) -> Column:
 def numbered(df: DataFrame, key: str, *ties: str, first: int = 1, into: str = "n") -> DataFrame:
     """Dense numbers in the order of ``key`` and ``ties``, without sorting everything in one task.
 
-    Quantiles of the key split the rows into ranges; each range is numbered by itself and starts
-    where the ones before it end. The driver sees one count per range.
+    Rows that are more than one task's are dealt out by ranges of the order, equal rows too, and written to
+    the checkpoint folder; each range is numbered by itself and starts where the ones before it end. The
+    driver sees one count per range of ``ROWS_PER_TASK`` rows.
     """
     n = df.count()
-    parts = max(1, min(10_000, -(-n // ROWS_PER_TASK)))
-    bounds = []
-    if parts > 1:
-        points = [i / parts for i in range(1, parts)]
-        bounds = sorted(set(df.agg(F.percentile_approx(key, points, 10_000)).first()[0] or []))
-    where = F.lit(0)
-    for b in bounds:
-        where = where + (F.col(key) > b).cast("int")
-    split = df.withColumn("__part", where) if bounds else df.withColumn("__part", F.lit(0))
-    counts = {r[0]: r[1] for r in split.groupBy("__part").count().collect()} if bounds else {0: n}
-    starts, at = [], first - 1
-    for k in range(len(bounds) + 1):
-        starts.append(at)
-        at += counts.get(k, 0)
-    order = Window.partitionBy("__part").orderBy(key, *ties)
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("__part") + 1)
-    return split.withColumn(into, F.row_number().over(order) + offset).drop("__part")
+    parts = -(-n // ROWS_PER_TASK)
+    if parts <= 1:
+        order = Window.partitionBy(F.lit(0)).orderBy(key, *ties)
+        return df.withColumn(into, (F.row_number().over(order) + F.lit(first - 1)).cast("long"))
+    spark = df.sparkSession
+    _checkpointed(spark)
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(parts, key, *ties, "__tie").sortWithinPartitions(key, *ties, "__tie").drop("__tie")
+    # the range and the place in it: once written, they stay
+    ranged = ranged.withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    at, starts = first, []
+    for r in sorted(ranged.groupBy(part.alias("part")).count().collect()):
+        starts.append((r[0], at))
+        at += r[1]
+    begins = spark.createDataFrame(starts, "__part long, __first long")
+    begins = F.broadcast(begins) if len(starts) <= BROADCAST_RANGES else begins
+    return ranged.join(begins, part == F.col("__part")).withColumn(into, (place + F.col("__first")).cast("long")).drop("__at", "__part", "__first")
+
+
+def _checkpointed(spark) -> None:
+    """Checkpoints go to the folder that the session names; one process without any takes a folder of its machine."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(place or os.path.join(tempfile.gettempdir(), "tidemill-checkpoints"))
 
 
 def validity(df: DataFrame, schemas: Mapping[str, Schema], name: str = "event_name", payload: str = "payload_json") -> Column:
