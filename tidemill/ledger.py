@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import threading
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from typing import Any
 
@@ -15,9 +17,11 @@ from tidemill.functions import cursor as cursors
 from tidemill.functions.retry import MAX_DELAY_MS, MAX_RETRIES, whole, with_retries
 from tidemill.functions.schema import fits
 from tidemill.model import Model
-from tidemill.operators import append, stream, tables
+from tidemill.operators import append, signals, stream, tables
 from tidemill.runtime import SystemClock
-from tidemill.sources.store import Snapshot, Store
+from tidemill.sources.manifests import Snapshot
+from tidemill.sources.projection import StoredProjection
+from tidemill.sources.store import Store
 
 PAGE = 256
 
@@ -109,11 +113,13 @@ class Transaction:
         self.work += [(*r[:at], self.base.next_seq, *r[at + 1 :]) for r in rows]
 
     def commit(self) -> None:
-        if not (self.events or self.work or self.pruned):
+        changed = [r for p in self.ledger.projections if isinstance(p, StoredProjection) for r in p.rows(self.base.next_seq)]
+        rows = {"events": self.events, "work": self.work, "pruned": self.pruned, "projections": changed}
+        if not any(rows.values()):
             return
         store = self.ledger.store
-        files = {"events": [store.rows("events", self.events)], "work": [store.rows("work", self.work)], "pruned": [store.rows("pruned", self.pruned)]}
-        store.commit(self.base, files, self.n_events, self.n_work)
+        files = {table: store.rows(table, made) for table, made in rows.items()}
+        store.commit(self.base, {t: [f] for t, f in files.items()}, self.n_events, self.n_work, rows={f: len(rows[t]) for t, f in files.items() if f})
 
 
 class EventActions:
@@ -214,12 +220,17 @@ class Ledger:
         self.spark, self.model, self.clock = spark, model, clock or SystemClock()
         self.projections = projections
         self.store = Store(spark, path)
+        for p in projections:
+            if isinstance(p, StoredProjection):
+                p.open(self.store)
         self.closed = False
         self.worker = None
         self._lock, self._owner = threading.Lock(), None
         self._appended = threading.Condition()
         self._sequence = 0
-        self._observers: dict[str, dict[int, Callable]] = {}
+        self._observers: dict[str, dict[int, tuple[Callable, ThreadPoolExecutor]]] = {}
+        self._observing: set[Future] = set()
+        self._folding = threading.Lock()
 
     # -- transactions
 
@@ -241,11 +252,24 @@ class Ledger:
             self._notify(event)
         if (tx.work or tx.events) and self.worker is not None:
             self.worker.request()
+        self._fold()
         return out
 
+    def _fold(self) -> None:
+        """Merge small folders now and then; other transactions go on meanwhile."""
+        if self._folding.acquire(blocking=False):
+            try:
+                self.store.fold()
+            except Exception as error:  # the transaction stands; the next one tries again
+                warnings.warn(f"small folders were not merged: {error}", stacklevel=2)
+            finally:
+                self._folding.release()
+
     def _attempt(self, body):
         tx = Transaction(self, self.store.snapshot())
         for p in self.projections:
+            if isinstance(p, StoredProjection):
+                p.enter(tx.base)
             p.begin()
         try:
             out = body(tx)
@@ -263,36 +287,56 @@ class Ledger:
     def emit(self, name: str, payload: Any, dedupe_key: str | None = None) -> None:
         self._transaction(lambda tx: tx.append(name, payload, dedupe_key))
 
-    def append(self, batch: DataFrame, order: str) -> None:
+    def append(self, batch: DataFrame, order: str, signal: bool = False, project: Sequence[tuple[StoredProjection, Callable[[DataFrame, DataFrame], DataFrame]]] = ()) -> None:
         """Append ``batch(event_name, payload_json[, dedupe_key])`` in the order of its column ``order``.
 
-        The declared routes make the work; events with Python handlers are refused, since those see
+        The declared routes make the work; names with Python handlers are refused, since those see
         what single events did before them. Validation (of events and of the work they make), dedupe, ids and
         work are all distributed; a row that doesn't fit fails the call, and nothing is appended.
+
+        ``signal``: the rows are signals, and those that make no work are pruned at once. Observers aren't
+        called for each of a batch; ``streaming.follow.signals_to`` polls them.
+
+        ``project``: stored projections of this ledger, each with a function of the new events and the projection's
+        rows ``(key_json, row_json)`` that returns the changed rows, one a key; the same commit holds them.
         """
-        if self.model.on_event:
+        model = self.model
+        if model.on_signal if signal else model.on_event:
             raise ValueError("a batch can't run Python event handlers: declare routes or emit single events")
+        if any(p not in self.projections for p, _ in project):
+            raise ValueError("a batch changes only projections that the ledger was opened with")
         if "dedupe_key" not in batch.columns:
             batch = batch.withColumn("dedupe_key", F.lit(None).cast("string"))
+        schemas, queues = (model.signals, model.signal_queues) if signal else (model.events, model.queues)
 
         def body(tx: Transaction):
             store, base, now = self.store, tx.base, self.clock.now_ms()
-            good = append.validated(batch.select(F.col(order).alias("event_id"), "event_name", "payload_json", "dedupe_key"), self.model.events)
+            good = append.validated(batch.select(F.col(order).alias("event_id"), "event_name", "payload_json", "dedupe_key"), schemas)
             live = tables.live_events(store.read("events", base), store.read("pruned", base))
             events = append.numbered(append.fresh(good, live), "event_id", "event_name", "payload_json", first=base.next_event_id)
             events = events.withColumn("event_id", F.col("n").cast("long")).withColumns(
-                {"ts_ms": F.lit(now).cast("long"), "signal": F.lit(0), "causation_event_id": F.lit(None).cast("long")}
+                {"ts_ms": F.lit(now).cast("long"), "signal": F.lit(int(signal)), "causation_event_id": F.lit(None).cast("long")}
             )
             folder = store.write("events", events)
-            stored = self.spark.read.schema(tables.EVENTS).parquet(f"{store.path}/{folder}")
-            count, top = stored.agg(F.count("*"), F.max("event_id")).first()
-            work = append.validated(append.materialized(stored, self.model.routes, base.next_work_id), self.model.queues, "queue_name")
+            stored = store.read("events", folders=[folder])
+            count = stored.count()
+            if not count:
+                return 0
+            work = append.validated(append.materialized(stored, model.routes, base.next_work_id), queues, "queue_name")
             made = store.write(
                 "work",
                 work.withColumns({"seq": F.lit(base.next_seq), "attempt": F.lit(0), "dead": F.lit(0), "gone": F.lit(False), **{c: F.lit(None) for c in ("lease_id", "lease_acquired_at_ms", "lease_expires_at_ms", "last_error")}}),
             )
-            n_work = self.spark.read.schema(tables.WORK).parquet(f"{store.path}/{made}").count()
-            store.commit(base, {"events": [folder], "work": [made]}, (top + 1 - base.next_event_id) if count else 0, n_work)
+            n_work = store.read("work", folders=[made]).count()
+            files, rows = {"events": [folder], "work": [made]}, {folder: count, made: n_work}
+            if signal:
+                files["pruned"] = [store.write("pruned", signals.finished(stored, store.read("work", folders=[made])))]
+            for p, changed in project:
+                new = changed(stored, p.frame(base)).select(F.lit(p.name).alias("projection"), "key_json", F.lit(base.next_seq).alias("seq"), "row_json")
+                files.setdefault("projections", []).append(store.write("projections", new))
+            for table in ("pruned", "projections"):
+                rows.update({f: store.read(table, folders=[f]).count() for f in files.get(table, ())})
+            store.commit(base, files, count, n_work, rows=rows)
             return count
 
         count = self._transaction(body)
@@ -395,20 +439,41 @@ class Ledger:
     def on_signal(self, name: str, observer: Callable[[Event], None]) -> Callable[[], None]:
         """Call ``observer`` with each new signal of this ledger; returns a function that ends it.
 
-        Live only: no replay, errors are swallowed, one registration per function.
+        Live only: no replay, errors are swallowed, one registration per function. Each observer has a thread of
+        its own, so a slow one delays neither the writer nor the others, and sees the signals in order.
         """
         if name not in self.model.signals:
             raise KeyError(f"unknown signal: {name}")
-        self._observers.setdefault(name, {})[id(observer)] = observer
-        return lambda: self._observers.get(name, {}).pop(id(observer), None)
+        those = self._observers.setdefault(name, {})
+        if id(observer) not in those:
+            those[id(observer)] = (observer, ThreadPoolExecutor(1))
+        return lambda: self._unobserve(name, id(observer))
+
+    def _unobserve(self, name: str, key: int) -> None:
+        _, pool = self._observers.get(name, {}).pop(key, (None, None))
+        if pool is not None:
+            pool.shutdown(wait=False, cancel_futures=True)
 
     def _notify(self, event: Event) -> None:
-        for key, observer in list(self._observers.get(event.name, {}).items()):
-            if key in self._observers.get(event.name, {}):  # not disposed by another meanwhile
-                try:
-                    observer(event)
-                except Exception:  # noqa: S112  an observer's failure is its own
-                    continue
+        for key, (observer, pool) in list(self._observers.get(event.name, {}).items()):
+
+            def call(key=key, observer=observer):
+                if key in self._observers.get(event.name, {}):  # not ended meanwhile
+                    try:
+                        observer(event)
+                    except Exception:  # noqa: S110  an observer's failure is its own
+                        pass
+
+            try:
+                future = pool.submit(call)
+            except RuntimeError:  # ended between the list and here
+                continue
+            self._observing.add(future)
+            future.add_done_callback(self._observing.discard)
+
+    def observed(self, timeout_s: float | None = None) -> bool:
+        """Wait until the observers have seen every signal so far; false if time runs out first."""
+        return not wait(list(self._observing), timeout_s).not_done
 
     # -- workers
 
@@ -424,17 +489,28 @@ class Ledger:
         return self.worker
 
     def close(self) -> None:
-        """End streams, workers and observers; the store stays. Calling it again does nothing."""
+        """End streams, workers and observers; the store stays. Calling it again does nothing.
+
+        Everything that failed while closing is reported together, after all of it was tried.
+        """
         if self.closed:
             return
         self.closed = True
         with self._appended:
             self._appended.notify_all()
+        failures: list[BaseException] = []
         try:
             if self.worker is not None:
                 self.worker.close()
-        finally:
-            self._observers.clear()
+        except BaseExceptionGroup as group:
+            failures += group.exceptions
+        except Exception as error:
+            failures.append(error)
+        for name, those in list(self._observers.items()):
+            for key in list(those):
+                self._unobserve(name, key)
+        if failures:
+            raise BaseExceptionGroup("the ledger could not close its workers", failures)
 
     def __enter__(self) -> Ledger:
         return self

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import cursor, retry
 from tidemill.functions.schema import INTEGER, fits_column, obj
+from tidemill.ledger import Ledger
+from tidemill.model import define
 from tidemill.operators import append, projection, signals, stream, tables
 from tidemill.operators import work as machine
 from tidemill.plans import fixture
 from tidemill.plans.fixture import SQL
+from tidemill.runtime import VirtualTime
+from tidemill.sources.projection import StoredProjection
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -276,9 +282,73 @@ def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cursor_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cursors of all events, decoded again."""
     page = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") + 1).alias("event_id"))
+    return page.withColumn("decoded", cursor.decode_column(cursor.encode_column(F.col("event_id"))))
+
+
+def _appended(spark: SparkSession, sf_dir: str, kind: str = "") -> Ledger:
+    """A new ledger in the session's shared folder that the fixture's events were appended to, signals after them."""
+    names = ("view", "signup", "error", "purchase", "click")
+    fits = dict.fromkeys(names, obj(k=INTEGER))
+    queues = {r.queue: obj(k=INTEGER) for r in fixture.ROUTES if not r.queue.startswith("sq.")}
+    model = define(
+        events={k: v for k, v in fits.items() if k != "view"}, signals={"view": fits["view"]}, queues=queues, signal_queues={"sq.notice": fits["view"]}
+    ).register(routes=fixture.ROUTES)
+    append._checkpointed(spark)
+    latest = StoredProjection("latest")
+    ledger = Ledger(spark, f"{spark.sparkContext.getCheckpointDir()}/log-{uuid.uuid4().hex}", model, VirtualTime(0), projections=(latest,))
+    log = fixture.log(spark, sf_dir)
+    batch = log.select(F.col("event_id").alias("at"), "event_name", "payload_json", "dedupe_key", "signal")
+    ledger.append(batch.where("signal = 0"), "at", project=((latest, _latest),) if kind == "projection" else ())
+    if kind == "signals":
+        ledger.append(batch.where("signal = 1"), "at", signal=True)
+    return ledger
+
+
+def _latest(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """The last event of each name and how many there were, on top of what the projection had."""
+    new = events.groupBy("event_name").agg(F.max("event_id").alias("last"), F.count("*").alias("n"))
+    old = rows.select(F.get_json_object("key_json", "$").alias("event_name"), F.get_json_object("row_json", "$.n").cast("long").alias("before"))
+    both = new.join(old, "event_name", "left")
+    row = F.to_json(F.struct("last", (F.col("n") + F.coalesce("before", F.lit(0))).alias("n")))
+    return both.select(F.concat(F.lit('"'), "event_name", F.lit('"')).alias("key_json"), row.alias("row_json"))
+
+
+_PLAIN_IDS = "app AS (SELECT w.*, ROW_NUMBER() OVER (ORDER BY event_id) AS id FROM win w WHERE signal=0)"
+
 
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(decoded=[cursor.decode(cursor.encode(int(k))) for k in pdf.event_id])
+@query("WITH {LOG}, {WIN}, " + _PLAIN_IDS + " SELECT id AS event_id, event_name, payload_json, dedupe_key FROM app")
+def append_batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that a ledger appended, read back: validated, deduplicated, numbered densely."""
+    return _appended(spark, sf_dir).events().select("event_id", "event_name", "payload_json", "dedupe_key")
 
-    return page.mapInPandas(run, "event_id long, decoded long")
+
+@query(
+    "WITH {LOG}, {WIN}, " + _PLAIN_IDS + " SELECT ROW_NUMBER() OVER (ORDER BY a.id, r.ord) AS work_id, r.queue_name, a.id AS source_event_id, "
+    "r.delay_ms AS available_at_ms, 'ready' AS state FROM app a JOIN (SELECT * FROM (VALUES ('purchase',0,'q.fulfil',0),('purchase',1,'q.receipt',86400000),"
+    "('signup',0,'q.welcome',0)) v(event_name,ord,queue_name,delay_ms)) r ON a.event_name=r.event_name"
+)
+def append_batch_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The work that an appended batch made, at time 0."""
+    return _appended(spark, sf_dir).work().select("work_id", "queue_name", "source_event_id", "available_at_ms", "state")
+
+
+@query(
+    "WITH {LOG}, {WIN}, " + _PLAIN_IDS + " SELECT (SELECT COUNT(*) FROM app) + ROW_NUMBER() OVER (ORDER BY event_id) AS event_id, event_name, dedupe_key, "
+    "1 AS n_work FROM win WHERE signal=1"
+)
+def append_batch_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals appended after the events, with the items that keep them alive."""
+    ledger = _appended(spark, sf_dir, "signals")
+    work = ledger.work().where("signal = 1").groupBy(F.col("source_event_id").alias("event_id")).agg(F.count("*").cast("int").alias("n_work"))
+    return ledger.events().where("signal = 1").join(work, "event_id").select("event_id", "event_name", "dedupe_key", "n_work")
+
+
+@query("WITH {LOG}, {WIN}, " + _PLAIN_IDS + " SELECT event_name, MAX(id) AS last_event_id, COUNT(*) AS n FROM app GROUP BY event_name")
+def append_batch_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored projection that the commit of the batch changed."""
+    rows = _appended(spark, sf_dir, "projection").projections[0].frame()
+    return rows.select(
+        F.get_json_object("key_json", "$").alias("event_name"),
+        F.get_json_object("row_json", "$.last").cast("long").alias("last_event_id"),
+        F.get_json_object("row_json", "$.n").cast("long").alias("n"),
+    )

@@ -6,7 +6,6 @@ next one, so ids up to an offset never grow later. Only durable events show.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -14,19 +13,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from tidemill.functions import cursor as cursors
 from tidemill.operators.tables import EVENTS
+from tidemill.sources.manifests import Snapshot, newest
 
 NAME = "tidemill_events"
-_END = "\n#end\n"
+#: Bytes of files that one task reads, about; small files share a task and a large folder's files have several.
+BYTES_PER_TASK = 64 << 20
 
 
 @dataclass
 class Files(InputPartition):
-    path: str
+    """Files of one log, and the ids wanted of them."""
+
+    paths: tuple[str, ...]
     after: int
     upto: int
 
-    def __init__(self, path: str, after: int, upto: int):
-        self.path, self.after, self.upto = path, after, upto
+    def __init__(self, paths: tuple[str, ...], after: int, upto: int):
+        self.paths, self.after, self.upto = paths, after, upto
 
 
 def _store(path: str):
@@ -36,32 +39,48 @@ def _store(path: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def manifest(path: str) -> tuple[list[str], int]:
-    """Folders of events in the newest version, and its last id; read without Spark."""
+def snapshot(path: str, at: Snapshot | None = None) -> Snapshot:
+    """The newest version, from ``at`` on; read without Spark."""
+    store, root = _store(path)
+
+    def read(name: str) -> str | None:
+        if store.get_file_info(f"{root}/commits/{name}").type.name != "File":
+            return None
+        with store.open_input_stream(f"{root}/commits/{name}") as f:
+            return f.read().decode()
+
+    return newest(read, at)
+
+
+def dealt(path: str, at: Snapshot, after: int, upto: int) -> list[Files]:
+    """Tasks over the files of those folders that can hold ids in (after, upto]."""
+    from pyarrow import fs
+
     store, root = _store(path)
-    folders, last, version = [], 0, 1
-    while True:
-        name = f"{root}/commits/{version:020d}.json"
-        if store.get_file_info(name).type.name != "File":
-            return folders, last
-        with store.open_input_stream(name) as f:
-            text = f.read().decode()
-        if not text.endswith(_END):
-            return folders, last
-        m = json.loads(text.removesuffix(_END))
-        folders = ([] if m["replace"] else folders) + m["files"].get("events", [])
-        last, version = m["next_event_id"] - 1, version + 1
-
-
-def _rows(part: Files):
-    """Arrow batches of a folder's durable events, ids in (after, upto]; the filter skips row groups."""
+    tasks, paths, size = [], [], 0
+    for folder in at.files.get("events", ()):
+        if folder.last <= after or folder.first > upto:
+            continue
+        for info in store.get_file_info(fs.FileSelector(f"{root}/{folder.name}")):
+            if not info.base_name.endswith(".parquet"):
+                continue
+            if paths and size + info.size > BYTES_PER_TASK:
+                tasks.append(Files(tuple(paths), after, upto))
+                paths, size = [], 0
+            paths.append(info.path)
+            size += info.size
+    return [*tasks, Files(tuple(paths), after, upto)]
+
+
+def _rows(path: str, part: Files):
+    """Arrow batches of the files' durable events, ids in (after, upto]; the filter skips row groups."""
     import pyarrow.dataset as ds
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    store, root = _store(part.path)
-    field = ds.field
-    wanted = (field("event_id") > part.after) & (field("event_id") <= part.upto) & (field("signal") == 0)
-    data = ds.dataset(root, filesystem=store, format="parquet")
-    yield from data.to_batches(columns=EVENTS.names, filter=wanted)
+    if part.paths:
+        field = ds.field
+        wanted = (field("event_id") > part.after) & (field("event_id") <= part.upto) & ((field("signal") == 0) | field("signal").is_null())
+        yield from ds.dataset(list(part.paths), schema=to_arrow_schema(EVENTS), filesystem=_store(path)[0], format="parquet").to_batches(columns=EVENTS.names, filter=wanted)
 
 
 class _Batch(DataSourceReader):
@@ -69,33 +88,34 @@ class _Batch(DataSourceReader):
         self.path, self.after = path, after
 
     def partitions(self):
-        folders, last = manifest(self.path)
-        return [Files(f"{self.path}/{f}", self.after, last) for f in folders] or [Files("", 0, 0)]
+        at = snapshot(self.path)
+        return dealt(self.path, at, self.after, at.next_event_id - 1)
 
     def read(self, part):
-        if part.path:
-            yield from _rows(part)
+        yield from _rows(self.path, part)
 
 
 class _Stream(DataSourceStreamReader):
+    """The version that was read last is remembered, so a micro-batch reads only the manifests after it."""
+
     def __init__(self, path: str, after: int):
-        self.path, self.after = path, after
+        self.path, self.after, self.at = path, after, None
 
     def initialOffset(self):  # noqa: N802
         return {"after": self.after}
 
     def latestOffset(self):  # noqa: N802
-        return {"after": max(self.after, manifest(self.path)[1])}
+        self.at = snapshot(self.path, self.at)
+        return {"after": max(self.after, self.at.next_event_id - 1)}
 
     def partitions(self, start, end):
-        folders, _ = manifest(self.path)
-        if start["after"] >= end["after"] or not folders:
-            return [Files("", 0, 0)]
-        return [Files(f"{self.path}/{f}", start["after"], end["after"]) for f in folders]
+        if start["after"] >= end["after"]:
+            return [Files((), 0, 0)]
+        self.at = snapshot(self.path, self.at)
+        return dealt(self.path, self.at, start["after"], end["after"])
 
     def read(self, part):
-        if part.path:
-            yield from _rows(part)
+        yield from _rows(self.path, part)
 
 
 class LedgerEvents(DataSource):
