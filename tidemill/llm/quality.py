@@ -187,7 +187,10 @@ class Network:
 
 
 def fit(documents: DataFrame, labels: DataFrame, vectors, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """Fit on at most ``sample`` labelled rows, taken by the hash of their id; held-out ids are never used."""
+    """Fit on at most ``sample`` labelled ids, taken by the hash of the id; held-out ids are never used.
+
+    Rows that repeat an id are one training row, the one with the least features, so the driver never gets more than ``sample``.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id"))
     known = known.groupBy(F.col("doc_id").alias("id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
     # only ids that exist get a place; the bounded sample is what is broadcast
@@ -202,7 +205,8 @@ def fit(documents: DataFrame, labels: DataFrame, vectors, sample: int = SAMPLE,
                 [batch.column("id"), batch.column("y"), batch.column("crc"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "crc", "x"]
             )
 
-    got = rows.transform(mapped, features, "id long, y double, crc long, x array<double>").toArrow()
+    found = rows.transform(mapped, features, "id long, y double, crc long, x array<double>")
+    got = found.groupBy("id", "y", "crc").agg(F.min("x").alias("x")).toArrow()
     order = np.argsort(got.column("id").to_numpy(), kind="stable") if got.num_rows else np.empty(0, int)
     x = np.array(got.column("x").to_pylist()).reshape(got.num_rows, FEATURES)[order]
     y, crc = got.column("y").to_numpy()[order], got.column("crc").to_numpy()[order]
@@ -234,7 +238,11 @@ def score(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Only the documents that the classifier accepts, with all their columns."""
+    """Only the documents that the classifier accepts, with all their columns.
+
+    Null and empty texts are scored as texts without words; repeated rows stay or go together; without labels of
+    both kinds all have one score; an empty table stays empty. Any other columns, whatever their names, are kept.
+    """
     spark = documents.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(documents))
     network = fit(documents, labels, vectors)
