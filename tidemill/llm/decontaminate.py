@@ -9,6 +9,7 @@ direct comparison confirms each occurrence.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import WORD, as_bytes, mapped
+from tidemill.llm.common import WORD, as_bytes, mapped, written
 
 #: Patterns of like length share one automaton: its shifts are as long as its shortest pattern allows.
 LENGTH_CLASSES = (4, 12, 24, 48)
@@ -115,7 +116,7 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[str, list[tuple[int, bytes]]]]:
-    """The benchmark a bounded block at a time, under a name of its own; the driver never holds more than one."""
+    """The benchmark a bounded block at a time, under a name of its own; the driver holds one, and the one that its caller works on."""
     block, size = [], 0
     for row in benchmark.select(F.col(id_col).alias("i"), as_bytes(text_col).alias("t")).toLocalIterator():
         if row.i is None:
@@ -189,21 +190,25 @@ def benchmark_hits(
     words), ``items`` (sorted ids whose windows occur). Null or empty text has no words; items
     without words or without an id have no windows; repeated ids stay separate rows; other
     columns are ignored. A benchmark over ``BLOCK_BYTES`` is searched in blocks, one pass over
-    the documents each, whose spans are united per document.
+    the documents each, whose spans are united per document; one block is broadcast at a time.
     """
     spark = documents.sparkSession
     docs = documents.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text")
     )
-    passes = [
-        docs.transform(mapped, _scan(n, spark.sparkContext.broadcast(block)), _SPANS)
-        for block in blocks(benchmark, item_col, item_text)
-    ] or [docs.transform(mapped, _scan(n, spark.sparkContext.broadcast((uuid.uuid4().hex, []))), _SPANS)]
-    if len(passes) == 1:
-        return passes[0].drop("row")
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
+    block, found = (uuid.uuid4().hex, []), None
+    for following in itertools.chain(blocks(benchmark, item_col, item_text), [None]):
+        if following is None and found is None:  # one block, or none
+            return docs.transform(mapped, _scan(n, spark.sparkContext.broadcast(block)), _SPANS).drop("row")
+        if block[1]:
+            if found is None:
+                docs = written(docs, "numbered")  # a row has one number in all passes
+            shared = spark.sparkContext.broadcast(block)
+            spans = docs.transform(mapped, _scan(n, shared), _SPANS)
+            spans = written(spans if found is None else spans.where(F.size("starts") > 0), "hits")
+            shared.unpersist()
+            found = spans if found is None else found.unionByName(spans)
+        block = following
     merged = found.groupBy("row", "doc_id", "n_words").agg(
         F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -229,11 +234,18 @@ def benchmark_hits(
 def keep_clean(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose text has no word inside a benchmark window, with all their columns.
 
-    A benchmark of several blocks is searched block by block, each over what the ones before kept.
+    A benchmark of several blocks is searched block by block, each over what the ones before kept, which is
+    written between; one block is broadcast at a time. Null and empty texts have no words and stay, as do all rows
+    where the benchmark is empty; repeated rows stay or go together; an empty table stays empty. Any other columns,
+    whatever their names, are kept.
     """
     spark = documents.sparkSession
     at = documents.columns.index(text_col)
+    items = None
     for block in blocks(benchmark, "item_id", "text"):
+        if items is not None:
+            documents = written(documents, "clean")
+            items.unpersist()
         items = spark.sparkContext.broadcast(block)
 
         def run(batches, items=items):
