@@ -254,8 +254,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     packed like any others. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    pieces = written(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    pieces = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
+    # written with its salt, which no column decides: rows that are all alike are dealt out too
+    salted = written(pieces.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")), "pieces")
     counts = np.zeros((capacity + 1, SALTS), np.int64)
     for row in salted.groupBy("length", "salt").count().toLocalIterator():
         counts[row["length"], row["salt"]] = row["count"]
