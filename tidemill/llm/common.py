@@ -148,6 +148,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def renamed(df: DataFrame, *columns: str) -> tuple[DataFrame, ...]:
+    """``df`` with columns c0, c1 and so on, which no name of an operator's own clashes with, and the new names of some."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), *[new[df.columns.index(c)] if c in df.columns else None for c in columns]
+
+
 def numbered(df: DataFrame, id_col: str) -> DataFrame:
     """``df`` with ``__id``: the row's id in the order of ids, or for a row without one a number of its own after all ids.
 

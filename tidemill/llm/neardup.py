@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import LOWER, as_bytes, discard, mapped, numbered, split_by_keys, written
+from tidemill.llm.common import LOWER, as_bytes, discard, mapped, numbered, renamed, split_by_keys, written
 from tidemill.llm.graph import components
 
 K = 64
@@ -392,15 +392,18 @@ def keep_one(documents: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     """The document with the smallest id of each group, with all its columns.
 
     Rows that repeat an id and are kept are one document: one of them stays. Rows without an id are
-    documents of their own that come after all ids. Only rows of ids that are dropped or repeated are shuffled.
+    documents of their own that come after all ids. Null and empty texts stay, but for repeated ids; an empty
+    table stays empty; other columns, whatever their names, are kept. Only rows of ids that are dropped or
+    repeated are shuffled.
     """
-    keyed = numbered(documents, id_col)
+    plain, id_col, text_col = renamed(documents, id_col, text_col)
+    keyed = numbered(plain, id_col)
     found = written(near_duplicates(keyed, n, percent, "__id", text_col).select("doc_id", "kept"), "kept")
     per = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     odd = per.where("not kept or n > 1").select("doc_id")
     possible, clear = split_by_keys(keyed, "__id", odd)
     stay = per.where("kept").select(F.col("doc_id").alias("__id"))
-    return clear.unionByName(possible.join(stay, "__id", "left_semi").dropDuplicates(["__id"])).select(documents.columns)
+    return clear.unionByName(possible.join(stay, "__id", "left_semi").dropDuplicates(["__id"])).select(plain.columns).toDF(*documents.columns)
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

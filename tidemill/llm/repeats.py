@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import as_bytes, discard, mapped, numbered, split_by_keys, written
+from tidemill.llm.common import as_bytes, discard, mapped, numbered, renamed, split_by_keys, written
 
 LENGTH = 400
 GRAM = 32
@@ -449,10 +449,13 @@ def _cut(data: bytes, spans: list[tuple[int, int]]) -> str:
 def cut_later_copies(documents: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """``documents`` with every passage of ``length`` bytes cut out wherever it starts again.
 
-    Columns and types stay; ``n_chars`` is counted anew if there. Rows of which nothing but white
+    Columns, whatever their names, and types stay; ``n_chars`` is counted anew if there. Rows of which nothing but white
     space is left go; rows that nothing is cut from, null and empty texts among them, stay as they are.
-    Rows without an id are texts of their own that come after all ids.
+    Rows without an id are texts of their own that come after all ids. Rows that repeat an id with its text
+    are one document and are cut alike (the stage before this one leaves one of them). An empty table stays empty.
     """
+    given = documents.columns
+    documents, id_col, text_col, size_col = renamed(documents, id_col, text_col, "n_chars")
     names = documents.columns
     doc, txt, keys = F.col("__id"), as_bytes(text_col), ["__key", "__spans"]
     documents, kinds = numbered(documents, id_col), documents.schema
@@ -466,11 +469,11 @@ def cut_later_copies(documents: DataFrame, length: int = LENGTH, id_col: str = "
     def run(batches):
         for batch in batches:
             texts = [_cut(t.encode("utf-8", "surrogatepass"), _united(s)) for t, s in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True)]
-            cols = [pa.array(texts, pa.string()) if c == text_col else pa.array([len(t) for t in texts], batch.column(c).type) if c == "n_chars" else batch.column(c) for c in names]
+            cols = [pa.array(texts, pa.string()) if c == text_col else pa.array([len(t) for t in texts], batch.column(c).type) if c == size_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([bool(t.strip()) for t in texts]))
 
     cut = joined.where("__spans is not null").select(*names, "__spans").transform(mapped, run, kinds)
-    return whole.unionByName(cut)
+    return whole.unionByName(cut).toDF(*given)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
