@@ -26,9 +26,11 @@ BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 32, 4, 2
 SAMPLE = 12_000
 THRESHOLD = 0.3
 FEATURES = 2 * DIM + 3
-#: Words handled at once.
+#: Words of one text that are handled together.
 SLICE = 200_000
-MEMO = 100_000
+#: Words of several texts handled at once: to sum word vectors, and to pool them.
+SUMMED, POOLED = 131_072, 32_768
+MEMO = 50_000
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _MEMO: dict[str, int] = {}
@@ -54,8 +56,9 @@ def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     return places, rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
 
 
-def _slices(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Word buckets of consecutive texts with the text's number, about ``SLICE`` words at a time."""
+def _slices(texts, at_once: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word buckets of consecutive texts with the text's number, about ``at_once`` words at a time; only texts of over
+    ``SLICE`` words are cut."""
     ids, owners, n = [], [], 0
     for k, text in enumerate(texts):
         own = bucket_ids(text)
@@ -64,7 +67,7 @@ def _slices(texts) -> tuple[np.ndarray, np.ndarray]:
             ids.append(part)
             owners.append(np.full(len(part), k, np.int64))
             n += len(part)
-            if n >= SLICE:
+            if n >= at_once:
                 yield np.concatenate(ids), np.concatenate(owners)
                 ids, owners, n = [], [], 0
     if n:
@@ -76,7 +79,7 @@ def _gather(batches):
     places, signs = index_vectors()
     sums, count = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for ids, owner in _slices(x.as_py() for x in batch.column(0)):
+        for ids, owner in _slices((x.as_py() for x in batch.column(0)), SUMMED):
             count += np.bincount(ids, minlength=BUCKETS)
             for gap in range(1, WINDOW + 1):
                 same = owner[gap:] == owner[:-gap]
@@ -110,7 +113,7 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     total, square, like = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros(n)
     count = np.zeros(n)
     distinct = np.zeros(n)
-    for ids, owner in _slices(texts):
+    for ids, owner in _slices(texts, POOLED):
         v = vectors[ids]
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         who = owner[starts]
