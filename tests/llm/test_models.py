@@ -1,6 +1,8 @@
 """Trained operators: held-out accuracy, gradients, calibration, and odd rows; media and the pipeline."""
 
 import os
+import random
+import time
 import zlib
 
 import numpy as np
@@ -65,6 +67,45 @@ def test_windows_carry_state_and_label_each_position_once():
     assert np.abs(alone - joined).max() > 1e-6  # the words around count
 
 
+def _read_plainly(unit, x, mask):
+    """States of one unit: one step and one unit at a time, gate and candidate side by side."""
+    half = np.repeat(np.float32([0.5, 1]), language.HIDDEN)
+    table, u, h, out = (unit.e @ unit.w + unit.b) * half, unit.u * half, np.zeros((x.shape[1], language.HIDDEN), np.float32), []
+    for t in range(len(x)):
+        g = np.tanh(h @ u + table.take(x[t], axis=0))
+        z, c = 0.5 * g[:, : language.HIDDEN] + np.float32(0.5), g[:, language.HIDDEN :]
+        new = h - c
+        new *= z
+        new += c
+        out.append(h := np.where(mask[t][:, None], new, h))
+    return np.stack(out)
+
+
+def test_both_units_read_alike_and_in_less_time():
+    rng, model = np.random.default_rng(8), language.Labeller(["a", "b", "c"])
+    x, mask = model.padded([bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(1, 90, 40)])
+    states, *_ = language.read(model.ahead, model.back, x, mask)
+    assert np.abs(states[:, 0] - _read_plainly(model.ahead, x, mask)).max() < 1e-5
+    assert np.abs(states[:, 1] - _read_plainly(model.back, x[::-1], mask[::-1])).max() < 1e-5
+    x, mask = model.padded([bytes(rng.integers(97, 123, 400).astype(np.uint8)) for _ in range(language.AT_ONCE)])
+
+    def seconds(run):
+        start = time.thread_time()
+        run()
+        return time.thread_time() - start
+
+    both = [(seconds(lambda: language.read(model.ahead, model.back, x, mask)), seconds(lambda: [_read_plainly(r, x, mask) for r in (model.ahead, model.back)])) for _ in range(5)]
+    assert min(a for a, _ in both) < 0.85 * min(b for _, b in both)
+
+
+def test_letters_are_those_of_the_words():
+    rng = random.Random(3)
+    odd = ["".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x300), rng.randrange(0x110000)])) for _ in range(rng.randrange(50))) for _ in range(3000)]
+    for text in ["", "Ää-ß\x00_x9y", "½ ² Ⅷ", "İx", "a\ud800b", "".join(map(chr, range(0x2000, 0x2100))).join("ab"), *odd]:
+        found = language.words(text)
+        assert language.letters(text) == (f" {' '.join(found)} ".encode("utf-8", "surrogatepass") if found else b"")
+
+
 @needs_data
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{HERE}/documents.parquet")

@@ -28,10 +28,12 @@ EMBED, HIDDEN = 16, 16
 #: Rows per language that training may see, and windows of ``TRAIN_SPAN`` bytes, from anywhere in the text, that each gives.
 SAMPLE, PER_ROW, TRAIN_SPAN = 600, 24, 80
 STEPS, BATCH = 420, 384
-#: Windows that are labelled at once.
-AT_ONCE = 256
+#: Windows that are labelled at once, and windows that are sorted by length before, so that those labelled together are alike.
+AT_ONCE, HELD = 256, 8192
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Keeps bytes of lower-case letters and of characters beyond ASCII; makes all others spaces.
+_SPACED = bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def words(text: str) -> list[str]:
@@ -44,8 +46,15 @@ def words(text: str) -> list[str]:
 
 def letters(text: str) -> bytes:
     """The bytes that the network reads: words with a space before and after each; empty without words."""
-    found = words(text)
-    return f" {' '.join(found)} ".encode("utf-8", "surrogatepass") if found else b""
+    low = text.lower()
+    other = [] if low.isascii() else [c for c in set(low) if c > "\x7f" and not c.isalpha()]
+    if len(other) > 16:  # a pass for each would take longer than the pattern
+        found = [w.encode("utf-8", "surrogatepass") for w in words(text)]
+    else:
+        for c in other:
+            low = low.replace(c, " ")
+        found = low.encode("utf-8", "surrogatepass").translate(_SPACED).split()
+    return b" %b " % b" ".join(found) if found else b""
 
 
 def windows(data: bytes) -> list[tuple[bytes, int, int]]:
@@ -69,44 +78,65 @@ class Gru:
     def parameters(self):
         return [self.e, self.w, self.u, self.b]
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """States (T, B, H) for bytes (T, B); a masked position keeps the state before it."""
-        # the gate's logistic function as a hyperbolic tangent of half its input: one function for all columns
-        half = np.concatenate([np.full(HIDDEN, 0.5, np.float32), np.ones(HIDDEN, np.float32)])
-        table, u = (self.e @ self.w + self.b) * half, self.u * half
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        states, tape, whole = np.empty((*x.shape, HIDDEN), np.float32), [], mask.all(1)
-        for t in range(len(x)):
-            g = h @ u
-            g += table.take(x[t], axis=0)
-            np.tanh(g, out=g)
-            z, c = 0.5 * g[:, :HIDDEN] + np.float32(0.5), g[:, HIDDEN:]
-            new = h - c
-            new *= z
-            new += c
-            if not whole[t]:
-                new = np.where(mask[t][:, None], new, h)
-            if keep:
-                tape.append((h, z, c))
-            states[t] = h = new
-        return states, tape
-
     def backward(self, x, mask, tape, out: np.ndarray):
         """Gradients of the parameters, from the gradient ``out`` of every state."""
         gt, gu = np.zeros((256, 2 * HIDDEN), np.float32), np.zeros_like(self.u)
-        dh = np.zeros_like(out[0])
+        every, dh = np.empty((*x.shape, 2 * HIDDEN), np.float32), np.zeros_like(out[0])
         for t in range(len(x) - 1, -1, -1):
             h, z, c = tape[t]
             m = mask[t][:, None]
             d = (dh + out[t]) * m
             rest = (dh + out[t]) * ~m
             da = np.concatenate([d * (h - c) * z * (1 - z), d * (1 - z) * (1 - c * c)], axis=1)
-            np.add.at(gt, x[t], da)
+            every[t] = da
             gu += h.T @ da
             dh = rest + d * z + da @ self.u.T
+        order = np.argsort(x, axis=None, kind="stable")
+        seen, first = np.unique(x.ravel()[order], return_index=True)
+        gt[seen] = np.add.reduceat(every.reshape(-1, 2 * HIDDEN)[order], first)
         return [gt @ self.w.T, self.e.T @ gt, gu, gt.sum(0)]
 
 
+def read(ahead: Gru, back: Gru, x: np.ndarray, mask: np.ndarray, keep: bool = False):
+    """States (T, 2, B, H) for bytes (T, B), of one unit that reads forwards and one that reads backwards.
+
+    Each unit's states are in the order in which it reads; a masked position keeps the state before it. Both
+    units step together, with gates and candidates apart, so that what a step computes on is contiguous.
+    """
+    n, size = x.shape
+    # the gate's logistic function as a hyperbolic tangent of half its input: one function for all columns
+    half = np.concatenate([np.full(HIDDEN, 0.5, np.float32), np.ones(HIDDEN, np.float32)])
+    table = np.concatenate([(r.e @ r.w + r.b) * half for r in (ahead, back)]).reshape(512, 2, HIDDEN)
+    u = np.stack([r.u * half for r in (ahead, back)]).reshape(2, HIDDEN, 2, HIDDEN)
+    table, u = np.ascontiguousarray(table.transpose(1, 0, 2)), np.ascontiguousarray(u.transpose(2, 0, 1, 3))
+    at = np.concatenate([x, x[::-1].astype(np.intp) + 256], axis=1)
+    there = np.stack([mask, mask[::-1]], axis=1)[:, :, :, None]
+    whole = mask.all(1) & mask.all(1)[::-1]
+    h = np.zeros((2, size, HIDDEN), np.float32)
+    states, tapes = np.empty((n, *h.shape), np.float32), ([], [])
+    g, own = np.empty((2, *h.shape), np.float32), np.empty((2, 2 * size, HIDDEN), np.float32)
+    for t in range(n):
+        if keep:
+            g = np.empty_like(g)
+        np.matmul(h, u, out=g)
+        table.take(at[t], axis=1, out=own, mode="clip")
+        g += own.reshape(g.shape)
+        np.tanh(g, out=g)
+        z, c = g
+        z *= 0.5
+        z += 0.5
+        new = np.subtract(h, c, out=states[t])
+        new *= z
+        new += c
+        if not whole[t]:
+            np.copyto(new, h, where=~there[t])
+        if keep:
+            for k, tape in enumerate(tapes):
+                tape.append((h[k], z[k], c[k]))
+        h = new
+    return states, *tapes
+
+
 class Labeller:
     """Both directions and a softmax over the languages at every position."""
 
@@ -120,27 +150,29 @@ class Labeller:
     @staticmethod
     def padded(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = max(map(len, rows))
-        x = np.frombuffer(b"".join(r.ljust(n, b"\0") for r in rows), np.uint8).reshape(len(rows), n).T
-        return x, np.arange(n)[:, None] < np.array([len(r) for r in rows])[None, :]
+        x = np.frombuffer(b"".join(r.ljust(n, b"\0") for r in rows), np.uint8).reshape(len(rows), n)
+        return np.ascontiguousarray(x.T), np.arange(n)[:, None] < np.array([len(r) for r in rows])[None, :]
 
     def _states(self, x, mask, keep=False):
-        f, tf = self.ahead.forward(x, mask, keep)
-        b, tb = self.back.forward(x[::-1], mask[::-1], keep)
-        return np.concatenate([f, b[::-1]], axis=2), tf, tb
+        states, tf, tb = read(self.ahead, self.back, x, mask, keep)
+        return np.concatenate([states[:, 0], states[::-1, 1]], axis=2), tf, tb
+
+    def _likely(self, x, mask) -> np.ndarray:
+        """Probabilities (T, languages, B) of every position."""
+        states, *_ = read(self.ahead, self.back, x, mask)
+        z = self.v[:HIDDEN].T @ states[:, 0].swapaxes(1, 2)
+        z += (self.v[HIDDEN:].T @ states[:, 1].swapaxes(1, 2))[::-1]
+        z += self.c[:, None]
+        if (np.abs(self.v).sum(0) + np.abs(self.c)).max() > 40:  # states lie between -1 and 1: else no logit overflows
+            z -= z.max(1, keepdims=True)
+        p = np.exp(z, out=z)
+        p /= p.sum(1, keepdims=True)
+        return p
 
     def label(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities (T, B, languages) of every position, and which positions exist."""
         x, mask = self.padded(rows)
-        f, _ = self.ahead.forward(x, mask)
-        b, _ = self.back.forward(x[::-1], mask[::-1])
-        z = f @ self.v[:HIDDEN]
-        z += (b @ self.v[HIDDEN:])[::-1]
-        z += self.c
-        if (np.abs(self.v).sum(0) + np.abs(self.c)).max() > 40:  # states lie between -1 and 1: else no logit overflows
-            z -= z.max(2, keepdims=True)
-        p = np.exp(z, out=z)
-        p /= (p @ np.ones(len(self.c), np.float32))[:, :, None]
-        return p, mask
+        return self._likely(x, mask).swapaxes(1, 2), mask
 
     def pooled(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean probabilities over each text's letters, and how many positions they are."""
@@ -151,19 +183,19 @@ class Labeller:
             held.sort(key=lambda r: len(r[0]))
             for i in range(0, len(held), AT_ONCE):
                 part = held[i : i + AT_ONCE]
-                rows = [r[0] for r in part]
-                p, mask = self.label(rows)
-                at = np.arange(len(p))[:, None]
-                own = (self.padded(rows)[0] != 32) & mask & (at >= np.array([r[1] for r in part])) & (at < np.array([r[2] for r in part]))
-                who = np.array([r[3] for r in part])
-                np.add.at(out, who, np.einsum("tbl,tb->bl", p, own.astype(np.float32)))
+                x, mask = self.padded([r[0] for r in part])
+                at, who = np.arange(len(x))[:, None], np.array([r[3] for r in part])
+                own = (x != 32) & (at >= np.array([r[1] for r in part])) & (at < np.array([r[2] for r in part]))
+                p = self._likely(x, mask)
+                p *= own[:, None]
+                np.add.at(out, who, p.sum(0).T)
                 np.add.at(n, who, own.sum(0))
             held.clear()
 
         for k, text in enumerate(texts):
             for w in windows(letters(text)):
                 held.append((*w, k))
-                if len(held) >= 8 * AT_ONCE:
+                if len(held) >= HELD:
                     settle()
         settle()
         return out / np.maximum(n, 1)[:, None], n
