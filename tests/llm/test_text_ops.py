@@ -49,6 +49,23 @@ def test_ids_are_the_tokenizers_own():
         assert np.frombuffer(e.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_texts_are_encoded_in_long_slices(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, e, calls = random.Random(4), packing.Encoder(), []
+    encode = e.encode
+    monkeypatch.setattr(e, "encode", lambda x: calls.append(len(x)) or encode(x))
+    text = _prose(rng, 60_000, "abcdefghéß.1")
+    assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    assert 2 <= len(calls) <= 6 and max(calls) < 66_000  # words one by one would be 60,000 calls, one slice 300,000 ids
+    monkeypatch.setattr(packing, "SLICE", 7, raising=False)
+    for _ in range(200):
+        text = "".join(rng.choice(["a", "b", "É", "'s", "1", ".", " ", " ", "  ", "\n", "\x1c", "\u3000", "<|endoftext|>"]) for _ in range(120))
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_are_exact_and_tight(seed):
     rng, capacity = random.Random(seed), 64

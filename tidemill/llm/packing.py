@@ -24,8 +24,8 @@ from tidemill.llm.common import as_bytes, mapped, written
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Distinct chunks a Python worker remembers the ids of.
-MEMO = 150_000
+#: Characters of a text that are encoded at once, and on to the next cut; so ids stand as Python numbers for a slice only.
+SLICE = 1 << 16
 #: Rank counters per length; ranks inside one are made by one task, so no length is one task's work.
 SALTS = 256
 #: A space between two visible characters is always where a token of this vocabulary begins.
@@ -36,8 +36,9 @@ class Encoder:
     """Ids of the public byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
 
     The ids are those of the ``tokenizers`` file of the same vocabulary (the tests compare the
-    two on whole texts); a text is encoded chunk by chunk and chunks seen before are looked up. The added
-    tokens that the file lists are taken out of a text first, as ``tokenizers`` does, and have one id each.
+    two on whole texts); a text is encoded in long slices, which costs less than looking up its words one
+    by one. The added tokens that the file lists are taken out of a text first, as ``tokenizers`` does, and
+    have one id each.
     """
 
     def __init__(self, path: str | None = None):
@@ -56,7 +57,6 @@ class Encoder:
         self.encode = tiktoken.Encoding(
             "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         ).encode_ordinary
-        self.memo: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         if not text:
@@ -66,23 +66,14 @@ class Encoder:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        chunks = _CUT.split(text)
-        memo = self.memo
-        out = [self._new(chunks[0])]
-        for chunk in chunks[1:]:
-            got = memo.get(chunk)
-            if got is None:
-                got = self._new(" " + chunk)
-                if len(memo) >= MEMO:
-                    memo.clear()
-                if len(chunk) < 64:
-                    memo[chunk] = got
-            out.append(got)
+        out, at = [], 0
+        while at < len(text):
+            cut = _CUT.search(text, at + SLICE)
+            end = cut.start() if cut else len(text)
+            out.append(np.array(self.encode(text[at:end]), "<u4").tobytes())
+            at = end
         return b"".join(out)
 
-    def _new(self, chunk: str) -> bytes:
-        return np.array(self.encode(chunk), "<u4").tobytes()
-
 
 _ENCODER: dict[str | None, Encoder] = {}  # one per Python worker
 
@@ -114,7 +105,6 @@ def _pieces(capacity: int, vocabulary: str | None):
                 + [pa.array(x, pa.int64()) for x in (starts, lengths, sums)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        encoder.memo.clear()  # the worker may serve other operators next
 
     return run
 
